@@ -17,8 +17,8 @@ def repeat_int(value: int, n: Column) -> Column:
 
 
 def pad_to(arr: Column, length: int, value: int) -> Column:
-    """Right-pad to ``length``; longer arrays are left alone."""
-    return F.concat(arr, repeat_int(value, F.greatest(F.lit(0), length - F.size(arr))))
+    """Right-pad to ``length``; a longer array is cut. ``arr`` is evaluated once."""
+    return F.slice(F.concat(arr, F.array_repeat(F.lit(value).cast("int"), length)), 1, length)
 
 
 def frame_with(arr: Column, length: int, head: int, tail: int, pad: int) -> Column:
@@ -76,3 +76,12 @@ def log_sum_exp(a: Column) -> Column:
 
 def joined(a: Column, sep: str = " ") -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), sep)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    A column named inside a lambda may be inlined there and computed again for
+    every element; binding it as a lambda argument keeps it computed once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

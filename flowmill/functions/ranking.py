@@ -42,15 +42,15 @@ def with_rank(
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if total:
         sizes = sizes.withColumn(total, F.sum("_rows").over(group))
-    sizes = sizes.drop("_rows")
     if keep is not None:
-        sizes = sizes.withColumn(rank, F.col("_before")).filter(keep).drop(rank)
-    pairs = [cut[k].eqNullSafe(sizes[k]) for k in [*by, "_bucket"]]
+        sizes = sizes.withColumn(rank, F.col("_before")).filter(keep)
+    keys = [*by, "_bucket"]
     added = ["_before"] + ([total] if total else [])
-    condition = pairs[0]
-    for p in pairs[1:]:
-        condition = condition & p
-    joined = cut.join(sizes, condition).select(*[cut[c] for c in cut.columns], *added)
+    sizes = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *added)
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    joined = cut.join(sizes, condition).drop(*[f"_key{i}" for i in range(len(keys))])
     within = Window.partitionBy(*by, "_bucket").orderBy(*order)
     ranked = joined.withColumn(
         rank, (F.col("_before") + F.row_number().over(within) - 1).cast("bigint")

@@ -157,15 +157,23 @@ def iat_token(gap: Column) -> Column:
     ).cast("int")
 
 
+def slim(packets: DataFrame, nbytes: int = 64) -> DataFrame:
+    """Packets with the first ``nbytes`` of payload in place of the whole of it.
+
+    Applied before flows are assembled, so shuffles carry no more than that.
+    """
+    return packets.withColumn("head", raw_head(F.col("payload"), nbytes)).drop("payload")
+
+
 def flow_tokens(
-    flows: DataFrame, *, max_packets: int | None = None, nbytes: int = 64, max_raw: int = 8
+    flows: DataFrame, *, max_packets: int | None = None, max_raw: int = 8
 ) -> DataFrame:
     """One row per payload packet with its size token, IAT token and first bytes.
 
-    Only the leading ``nbytes`` of the first ``max_raw`` packets are carried on.
+    ``flows`` is :func:`assemble_flows` of :func:`slim` packets; the bytes are
+    kept for the first ``max_raw`` packets only.
     """
-    slim = flows.withColumn("head", raw_head(F.col("payload"), nbytes)).drop("payload")
-    ranked = payload_packets(slim, max_packets=max_packets)
+    ranked = payload_packets(flows, max_packets=max_packets)
     size = capped_size(F.col("len"))
     return ranked.withColumns({
         "size_token": signed_size_token(size, F.col("direction")),

@@ -150,7 +150,7 @@ def assembled(spark, sf_dir):
 
 
 def tokens(spark, sf_dir, **options):
-    return fl.flow_tokens(assembled(spark, sf_dir), **options)
+    return fl.flow_tokens(fl.assemble_flows(fl.slim(kept(spark, sf_dir))), **options)
 
 
 @query("min_payload_packets", "select seq, flow_key, len, n_payload from assembled", "assembled")
