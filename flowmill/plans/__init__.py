@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("packet_plans", "flow_plans", "encode_plans", "dataset_plans", "embedding_plans")
+MODULES = (
+    "packet_plans", "flow_plans", "encode_plans", "dataset_plans", "embedding_plans", "text_plans",
+)
 
 
 def _load():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill import fixtures as fx
+from flowmill.operators import batches as ba
 from flowmill.operators import contrastive as co
 from flowmill.operators import evaluate as ev
 from flowmill.operators import model
@@ -139,7 +140,7 @@ def errors_csv(spark, sf_dir):
 
 BATCH = 32
 define("unit", """
-  select vec_id as id, cast(vec_id // 32 as bigint) batch_id,
+  select vec_id as id, cast((row_number() over (order by md5(concat_ws('|', 7, 'shuffle', 0, vec_id))) - 1) // 32 as bigint) batch_id,
          list_transform(r, lambda x: x / greatest(sqrt(list_sum(list_transform(r, lambda y: y * y))), 1e-12)) as raw,
          list_transform(s, lambda x: x / greatest(sqrt(list_sum(list_transform(s, lambda y: y * y))), 1e-12)) as size
   from (select vec_id, list_transform(embedding[1:32], lambda x: cast(x as double)) r,
@@ -154,8 +155,10 @@ define("sims", """
 
 def units(spark, sf_dir):
     half = lambda at: F.transform(F.slice("embedding", at, 32), lambda x: x.cast("double"))
-    return fx.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.expr(f"vec_id div {BATCH}").alias("batch_id"),
+    # Batches of a shuffled epoch: never more than BATCH members.
+    rows = ba.shuffle(fx.table(spark, sf_dir, "embeddings"), ["vec_id"])
+    return ba.batch_id(ba.round_robin_shard(rows, 1), BATCH, 1).select(
+        F.col("vec_id").alias("id"), "batch_id",
         co.normalize(half(1)).alias("raw"), co.normalize(half(33)).alias("size"),
     )
 

@@ -97,6 +97,22 @@ def write_instances(spark, sf_dir):
     )
 
 
+@query("read_instances", """
+  select label, cast(count(*) as bigint) as rows, cast(sum(list_sum(src)) as bigint) total
+  from raw_seq join size_seq using (flow_key) join flow_list using (flow_key) group by label
+""", "raw_seq", "size_seq", "flow_list")
+def read_instances(spark, sf_dir):
+    # Two parts written apart and read as one.
+    rows = encoded(spark, sf_dir).select("flow_key", "label", *PAIRED)
+    paths = [shared_folder(spark, "instances") for _ in range(2)]
+    tables.write_instances(rows.filter(F.col("label") == "svc0"), paths[0])
+    tables.write_instances(rows.filter(F.col("label") != "svc0"), paths[1])
+    total = F.aggregate("src", F.lit(0), lambda s, x: s + x)
+    return tables.read_instances(spark, *paths).groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(total).alias("total")
+    )
+
+
 # Masking equivalents work on one row per position instead of arrays.
 define("dups", "select unnest(range(0, 5)) dup")
 define("size_pos", """
@@ -171,21 +187,63 @@ def mask_tokens(spark, sf_dir):
     )
 
 
-@query("mask_spans")
-def mask_spans(spark, sf_dir):
-    masked = ma.static_masking(dup_rows(spark, sf_dir), SEED, spans=True)
-    targets = joined(F.transform("tgt_size", lambda t: t["pos"]))
-    return masked.select(
-        "flow_key", "dup", joined(F.col("size_masked")).alias("size_masked"),
-        joined(F.col("iat_masked")).alias("iat_masked"), targets.alias("positions"),
-    )
+CUMULATIVE = ", ".join(f"{c!r}e0" for c in ma._span_cumulative(0.2, 10))
 
 
-CUMULATIVE = ", ".join(f"{c!r}e0" for c in ma._span_cumulative(0.2, 10))
+def span_length_sql(u: str) -> str:
+    return f"1 + length(list_filter([{CUMULATIVE}], lambda c: {u} >= c))"
+
+
+# Spans of a byte sequence: its tokens are positions 1..n, between [CLS] and [SEP].
+define("span_base", """
+  select flow_key, src, length(list_filter(src, lambda x: x <> 0)) as used from raw_seq
+""", "raw_seq")
+define("span_walk", f"""
+  select flow_key, used, cast(1 as bigint) as pos,
+         cast({span_length_sql(u_sql('7', "'span'", 'flow_key', '0', '1'))} as bigint) as len
+  from span_base
+  union all
+  select flow_key, used, at, cast({span_length_sql('u')} as bigint)
+  from (select flow_key, used, pos + len as at, {u_sql('7', "'span'", 'flow_key', '0', 'pos + len')} u
+        from span_walk where pos + len <= used - 2)
+""", "span_base")
+define("spans", """
+  select flow_key, used, pos, least(len, used - pos) as len,
+         row_number() over (partition by flow_key order by md5(concat_ws('|', 7, 'mask', flow_key, 0, pos))) k
+  from span_walk
+""", "span_walk")
+define("span_pick", """
+  select flow_key, cast(0 as bigint) k, cast(0 as bigint) total, cast(null as bigint) as pos, cast(0 as bigint) as len
+  from span_base
+  union all
+  select s.flow_key, s.k, if(fits, p.total + s.len, p.total), if(fits, s.pos, null), s.len
+  from span_pick p
+  join (select *, greatest(1, round_even(used * 0.15e0, 0)) as most from spans) s
+    on s.flow_key = p.flow_key and s.k = p.k + 1,
+  lateral (select p.total + s.len <= s.most fits)
+""", "spans", "span_base")
+
+
+@query("mask_spans", f"""
+  select flow_key, cast(pos as int) as position, token, cast({replaced_sql('token', '', 261, 'flow_key, 0', 'span')} as int) masked
+  from (select p.flow_key, p.span, p.span + i as pos, b.src[cast(p.span + i + 1 as int)] as token
+        from (select flow_key, pos as span, unnest(range(0, len)) i from span_pick where pos is not null) p
+        join span_base b using (flow_key))
+""", "span_pick", "span_base")
+def mask_spans(spark, sf_dir):
+    rows = en.encode_raw(sequences(spark, sf_dir, 8)).withColumn("dup", F.lit(0))
+    return (
+        ma.mask_raw(rows, SEED, spans=True)
+        .select("flow_key", "src_masked", F.explode("tgt").alias("t"))
+        .select(
+            "flow_key", F.col("t.pos").alias("position"), F.col("t.token").alias("token"),
+            F.get("src_masked", F.col("t.pos")).alias("masked"),
+        )
+    )
 
 
 @query("span_length", f"""
-  select seq, cast(1 + length(list_filter([{CUMULATIVE}], lambda c: u >= c)) as int) span_length
+  select seq, cast({span_length_sql('u')} as int) span_length
   from (select seq, {u_sql('7', "'span'", 'seq')} u from packets)
 """, "packets")
 def span_length(spark, sf_dir):
