@@ -203,8 +203,8 @@ define("span_walk", f"""
          cast({span_length_sql(u_sql('7', "'span'", 'flow_key', '0', '1'))} as bigint) as len
   from span_base
   union all
-  select flow_key, used, at, cast({span_length_sql('u')} as bigint)
-  from (select flow_key, used, pos + len as at, {u_sql('7', "'span'", 'flow_key', '0', 'pos + len')} u
+  select flow_key, used, later, cast({span_length_sql('u')} as bigint)
+  from (select flow_key, used, pos + len as later, {u_sql('7', "'span'", 'flow_key', '0', 'pos + len')} u
         from span_walk where pos + len <= used - 2)
 """, "span_base")
 define("spans", """

@@ -6,6 +6,8 @@ query with those it needs, in order.
 
 from __future__ import annotations
 
+import re
+
 CTE: dict[str, str] = {}
 _NEEDS: dict[str, list[str]] = {}
 
@@ -28,7 +30,11 @@ def sql(query: str, *needs: str) -> str:
         visit(n)
     if not seen:
         return query
-    return "with recursive " + ",\n".join(f"{n} as ({CTE[n]})" for n in seen) + "\n" + query
+    parts = []
+    for n in seen:
+        recursive = re.search(rf"\b(from|join)\s+{n}\b", CTE[n])
+        parts.append(f"{n} as {'' if recursive else 'materialized '}({CTE[n]})")
+    return "with recursive " + ",\n".join(parts) + "\n" + query
 
 
 define("packets", """

@@ -22,6 +22,8 @@ MAGIC = {
 PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
 FILE_HEADER, RECORD_HEADER = 24, 16
 MAX_FRAME = 262144
+# A proposed split start must be followed by so many records, within so many bytes.
+LINKS, LOOK_AHEAD = 8, 1 << 20
 
 SPLIT_BYTES = 128 << 20
 LISTING = "*.{[pP][cC][aA][pP],[pP][cC][aA][pP][nN][gG]}"
@@ -93,25 +95,34 @@ class _Capture:
             pos = end
 
     def find_start(self, low, stop):
-        """First position from ``low`` where records chain plausibly to ``stop``.
+        """First position from ``low`` from where plausible records reach past ``stop``.
 
         Returns (start, end): ``end`` is where the chain leaves the split. It is
         only a proposal; see :func:`capture_ranges`.
         """
-        window = self.file.read_at(min(stop + MAX_FRAME + 2 * RECORD_HEADER, self.size) - low, low)
+        window = self.file.read_at(min(stop + LOOK_AHEAD, self.size) - low, low)
         for offset in range(min(len(window), stop - low)):
-            pos, links = offset, 0
-            while low + pos < stop and pos + RECORD_HEADER <= len(window):
-                head = self.header(window, pos)
-                if head is None:
-                    break
-                pos += RECORD_HEADER + head[2]
-                links += 1
-            else:
-                if links and low + pos <= self.size:
-                    return low + offset, low + pos
+            end = self._chain_end(window, offset, stop - low)
+            if end >= 0 and low + end <= self.size:
+                return low + offset, low + end
         return -1, -1
 
+    def _chain_end(self, window, pos, stop):
+        """Where a chain from ``pos`` first reaches ``stop``; -1 when it breaks before
+        it has passed that and has ``LINKS`` records or the window is used up."""
+        links, end = 0, -1
+        while pos + RECORD_HEADER <= len(window):
+            if end < 0 and pos >= stop:
+                end = pos
+            if end >= 0 and links >= LINKS:
+                return end
+            head = self.header(window, pos)
+            if head is None:
+                return -1
+            pos += RECORD_HEADER + head[2]
+            links += 1
+        return end if end >= 0 else pos if links else -1
+
 
 def _propose(batches):
     for batch in batches:
