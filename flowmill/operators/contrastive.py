@@ -35,7 +35,7 @@ def batch_similarity(df: DataFrame, temperature: float = TEMPERATURE) -> DataFra
     ``size_to_raw``. One shuffle, on the batch.
     """
     pool = df.groupBy("batch_id").agg(
-        F.array_sort(F.collect_list(F.struct("id", "raw", "size"))).alias("pool")
+        F.sort_array(F.collect_list(F.struct("id", "raw", "size"))).alias("pool")
     )
 
     def row(members, me, i):

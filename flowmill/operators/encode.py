@@ -82,7 +82,7 @@ def token_positions(df: DataFrame, length: int = LENGTH_RAW) -> DataFrame:
         F.slice(raw_packet_index(p), 1, length - 2).alias("packet"),
         F.slice(raw_ids(p), 1, length - 2).alias("token"),
     )
-    return df.select("flow_key", F.posexplode(pair).alias("position", "_x")).select(
+    return df.select("flow_key", F.posexplode_outer(pair).alias("position", "_x")).select(
         "flow_key", "position", F.col("_x.packet").alias("packet"), F.col("_x.token").alias("token")
     )
 

@@ -47,7 +47,7 @@ def flow_reliability(seq: Column, vocab_size: int) -> Column:
         p = run / n
         return F.when(run > 0, -p * F.ln(p + EPSILON)).otherwise(F.lit(0.0))
 
-    return let(F.array_sort(F.filter(seq, lambda x: x != PAD)), reliability)
+    return let(F.sort_array(F.filter(seq, lambda x: x != PAD)), reliability)
 
 
 def _window_reliability(tokens: np.ndarray, half: int) -> np.ndarray:

@@ -196,7 +196,7 @@ def flow_sequences(tokens: DataFrame, max_packets: int = 256) -> DataFrame:
     rows = tokens.filter(F.col("rank") < max_packets)
     entry = F.struct("rank", "direction", "size_token", "iat_token", "head")
     grouped = rows.groupBy("flow_key").agg(
-        F.array_sort(F.collect_list(entry)).alias("_seq"),
+        F.sort_array(F.collect_list(entry)).alias("_seq"),
         *[F.min(c).alias(c) for c in columns],
     )
     heads = F.filter("_seq", lambda x: x["head"].isNotNull())
@@ -219,7 +219,7 @@ def size_chunks(tokens: DataFrame, per_chunk: int = 65536) -> DataFrame:
     columns = [c for c in ("capture", "label", "proto") if c in tokens.columns]
     return (
         tokens.groupBy("flow_key", F.expr(f"rank div {per_chunk}").alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_seq"),
+        .agg(F.sort_array(F.collect_list(entry)).alias("_seq"),
              *[F.min(c).alias(c) for c in columns])
         .select(
             "flow_key", *columns, "part",

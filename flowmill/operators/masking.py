@@ -22,8 +22,8 @@ TARGETS = "array<struct<pos:int,token:int>>"
 
 
 def used_length(seq: Column) -> Column:
-    """Length without the trailing padding."""
-    return F.array_max(F.transform(seq, lambda x, i: F.when(x != PAD, i + 1).otherwise(0)))
+    """Length without the padding; PAD occurs nowhere else in a sequence."""
+    return F.size(F.array_remove(seq, PAD))
 
 
 def budget(seq: Column) -> Column:
@@ -44,7 +44,7 @@ def _keys(seq: Column, seed, ident: list[Column]) -> Column:
 
 def _cut(keys: Column, n: Column) -> Column:
     """The key of the last position picked."""
-    present = F.array_sort(F.filter(keys, lambda k: k.isNotNull()))
+    present = F.sort_array(F.filter(keys, lambda k: k.isNotNull()))
     return let(present, lambda p: F.try_element_at(p, F.least(n, F.size(p))))
 
 
@@ -80,23 +80,33 @@ def _plan(seq, seed, ident):
     )
 
 
+def _spread(seq: Column, plan: Column, cell) -> Column:
+    """The sequence with ``cell(i)`` at the planned positions.
+
+    Put together from the runs between them, so only planned positions are
+    evaluated. ``plan`` is sorted.
+    """
+    runs = F.transform(plan, lambda i, k: let(
+        F.coalesce(F.get(plan, k - 1), F.lit(-1)),
+        lambda before: F.concat(F.slice(seq, before + 2, i - before - 1), F.array(cell(i))),
+    ))
+    last = F.coalesce(F.try_element_at(plan, F.lit(-1)), F.lit(-1))
+    return F.flatten(F.concat(runs, F.array(F.slice(seq, last + 2, F.size(seq)))))
+
+
+def _targets(seq: Column, plan: Column) -> Column:
+    return F.transform(
+        plan, lambda i: F.struct(i.alias("pos"), F.get(seq, i).alias("token"))
+    ).cast(TARGETS)
+
+
 def _apply(seq: Column, plan: Column, seed, salt: str, ident: list[Column], vocab_size: int) -> Column:
     """(masked, targets) of a sequence for planned positions, one draw per position."""
-    flags = F.transform(seq, lambda x, i: F.array_contains(plan, i))
-    masked = F.zip_with(
-        F.transform(seq, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), flags,
-        lambda e, hit: F.when(
-            hit,
-            _replace(
-                e["x"], uniform(seed, salt + "draw", *ident, e["i"]),
-                uniform(seed, salt + "token", *ident, e["i"]), vocab_size,
-            ),
-        ).otherwise(e["x"]),
-    )
-    targets = F.transform(
-        plan, lambda i: F.struct(i.cast("int").alias("pos"), F.get(seq, i).alias("token"))
-    )
-    return F.struct(masked.alias("masked"), targets.cast(TARGETS).alias("targets"))
+    masked = _spread(seq, plan, lambda i: _replace(
+        F.get(seq, i), uniform(seed, salt + "draw", *ident, i),
+        uniform(seed, salt + "token", *ident, i), vocab_size,
+    ))
+    return F.struct(masked.alias("masked"), _targets(seq, plan).alias("targets"))
 
 
 def mask_tokens(seq: Column, vocab_size: int, seed, ident: list[Column]) -> Column:
@@ -134,20 +144,31 @@ def span_length(u: Column, p: float = SPAN_P, longest: int = SPAN_MAX) -> Column
     return F.size(F.filter(steps, lambda c: u >= c)) + 1
 
 
-SPANS = "array<struct<pos:int,len:int>>"
+# Spans are kept as one int each while they are chosen: position * SLOT + length.
+SLOT = 64
+
+
+def _pos(span: Column) -> Column:
+    return F.floor(span / SLOT).cast("int")
+
+
+def _len(span: Column) -> Column:
+    return span.bitwiseAND(F.lit(SLOT - 1))
 
 
 def candidate_spans(seq: Column, seed, ident: list[Column], p: float, longest: int) -> Column:
     """Left to right, non-overlapping spans that start on maskable tokens."""
+    if longest >= SLOT:
+        raise ValueError(f"spans are shorter than {SLOT}")
+
     def step(acc, e):
         start = _candidate(e["x"]) & (e["i"] >= acc["free"])
         length = span_length(uniform(seed, "span", *ident, e["i"]), p, longest)
         grown = let(length, lambda n: F.struct(
             (e["i"] + n).cast("int").alias("free"),
-            F.concat(acc["spans"], F.array(F.struct(
-                e["i"].cast("int").alias("pos"),
-                F.least(n, e["used"] - e["i"]).cast("int").alias("len"),
-            ))).cast(SPANS).alias("spans"),
+            F.concat(acc["spans"], F.array(
+                (e["i"] * SLOT + F.least(n, e["used"] - e["i"])).cast("int")
+            )).alias("spans"),
         ))
         return F.when(start, grown).otherwise(acc)
 
@@ -155,30 +176,33 @@ def candidate_spans(seq: Column, seed, ident: list[Column], p: float, longest: i
         used_length(seq),
         lambda used: F.transform(
             F.slice(seq, 1, used),
-            lambda x, i: F.struct(x.alias("x"), i.cast("int").alias("i"), used.alias("used")),
+            lambda x, i: F.struct(x.alias("x"), i.alias("i"), used.alias("used")),
         ),
     )
-    start = F.struct(F.lit(0).cast("int").alias("free"), F.array().cast(SPANS).alias("spans"))
+    start = F.struct(F.lit(0).cast("int").alias("free"), no_ints().alias("spans"))
     return F.aggregate(items, start, step, lambda acc: acc["spans"])
 
 
 def chosen_spans(spans: Column, n: Column, seed, ident: list[Column]) -> Column:
-    """Spans in random order that fit the budget; one that would overflow it is skipped."""
-    shuffled = F.array_sort(F.transform(
-        spans, lambda s: F.struct(hash_key(seed, "mask", *ident, s["pos"]).alias("k"), s.alias("s"))
+    """Spans in random order that fit the budget; one that would overflow it is skipped.
+
+    Returned in position order.
+    """
+    shuffled = F.sort_array(F.transform(
+        spans, lambda s: F.struct(hash_key(seed, "mask", *ident, _pos(s)).alias("k"), s.alias("s"))
     ))
 
     def step(acc, e):
-        fits = acc["used"] + e["s"]["len"] <= acc["n"]
-        return F.when(fits, F.struct(
-            (acc["used"] + e["s"]["len"]).cast("int").alias("used"), acc["n"].alias("n"),
-            F.concat(acc["spans"], F.array(e["s"])).cast(SPANS).alias("spans"),
+        grown = acc["used"] + _len(e["s"])
+        return F.when(grown <= acc["n"], F.struct(
+            grown.cast("int").alias("used"), acc["n"].alias("n"),
+            F.concat(acc["spans"], F.array(e["s"])).alias("spans"),
         )).otherwise(acc)
 
     start = F.struct(
-        F.lit(0).cast("int").alias("used"), n.cast("int").alias("n"), F.array().cast(SPANS).alias("spans")
+        F.lit(0).cast("int").alias("used"), n.cast("int").alias("n"), no_ints().alias("spans")
     )
-    return F.aggregate(shuffled, start, step, lambda acc: acc["spans"])
+    return F.sort_array(F.aggregate(shuffled, start, step, lambda acc: acc["spans"]))
 
 
 def mask_spans(
@@ -186,39 +210,33 @@ def mask_spans(
     p: float = SPAN_P, longest: int = SPAN_MAX,
 ) -> Column:
     """Span masking: one 80/10/10 draw per span, a fresh random id per position."""
-    return let(seq, lambda s: _mask_spans(s, vocab_size, seed, ident, p, longest))
+    return let(seq, lambda s: let(
+        candidate_spans(s, seed, ident, p, longest),
+        lambda spans: let(
+            chosen_spans(spans, budget(s), seed, ident),
+            lambda chosen: _mask_spans(s, chosen, vocab_size, seed, ident),
+        ),
+    ))
 
 
-def _mask_spans(seq, vocab_size, seed, ident, p, longest):
-    spans = let(
-        candidate_spans(seq, seed, ident, p, longest),
-        lambda s: chosen_spans(s, budget(seq), seed, ident),
-    )
+def _mask_spans(seq, chosen, vocab_size, seed, ident):
+    cells = F.flatten(F.transform(chosen, lambda s: F.transform(
+        F.sequence(_pos(s), _pos(s) + _len(s) - 1),
+        lambda i: F.struct(i.alias("pos"), _pos(s).alias("span")),
+    )))
 
-    def build(chosen):
-        cells = F.array_sort(F.flatten(F.transform(chosen, lambda s: F.transform(
-            F.sequence(s["pos"], s["pos"] + s["len"] - 1),
-            lambda i: F.struct(i.alias("pos"), s["pos"].alias("span")),
-        ))))
-
-        def cell(x, i):
-            mine = F.filter(chosen, lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
-            return let(mine, lambda m: F.when(
-                F.size(m) > 0,
-                _replace(
-                    x, uniform(seed, "draw", *ident, m[0]["pos"]),
-                    uniform(seed, "token", *ident, i), vocab_size,
-                ),
-            ).otherwise(x))
-
-        targets = F.transform(
-            cells, lambda c: F.struct(c["pos"].cast("int").alias("pos"), F.get(seq, c["pos"]).alias("token"))
-        )
-        return F.struct(
-            F.transform(seq, cell).alias("masked"), targets.cast(TARGETS).alias("targets")
-        )
+    def build(c):
+        places = F.transform(c, lambda x: x["pos"])
+        fresh = F.transform(c, lambda x: _replace(
+            F.get(seq, x["pos"]), uniform(seed, "draw", *ident, x["span"]),
+            uniform(seed, "token", *ident, x["pos"]), vocab_size,
+        ))
+        return let(F.struct(places.alias("at"), fresh.alias("new")), lambda m: F.struct(
+            _spread(seq, m["at"], lambda i: F.get(m["new"], F.array_position(m["at"], i).cast("int") - 1)).alias("masked"),
+            _targets(seq, m["at"]).alias("targets"),
+        ))
 
-    return let(spans, build)
+    return let(cells, build)
 
 
 def dense_targets(targets: Column, length: int) -> Column:

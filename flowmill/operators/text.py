@@ -7,6 +7,7 @@ distinct word of a batch; no word is ever shuffled for it.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -59,41 +60,84 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return whitespace_tokens(space_cjk(clean_text(text)))
+    """Words as they stand, before cleaning.
+
+    Splits exactly where the cleaned text would split: at tabs, newlines and the
+    space, line and paragraph separators. What cleaning removes stays inside a
+    word and is removed there, once per distinct word.
+    """
+    return F.filter(F.split(text, r"[\t\n\r\p{Z}]+"), lambda x: x != "")
+
+
+# Characters that stand for themselves in a clean word: no control, no ideograph.
+_FAST = re.compile(r"[!-~]*")
+_PUNCT = re.compile(r"[!-/:-@\[-`{-~]")
+
+
+@lru_cache(maxsize=65536)
+def _character(char: str) -> str:
+    """What a character of a word becomes in the cleaned, spaced text."""
+    if char == "\ufffd" or unicodedata.category(char) in ("Cc", "Cf"):
+        return ""
+    code = ord(char)
+    return f" {char} " if any(a <= code <= b for a, b in CJK_RANGES) else char
 
 
 def _plain(word: str) -> str:
     """Lower case, accents removed."""
+    if word.isascii():
+        return word.lower()
     decomposed = unicodedata.normalize("NFD", word.lower())
-    return "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
+    return "".join(c for c in decomposed if c.isascii() or unicodedata.category(c) != "Mn")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=65536)
 def _punctuation(char: str) -> bool:
     code = ord(char)
     return any(a <= code <= b for a, b in ASCII_PUNCTUATION) or unicodedata.category(char)[0] == "P"
 
 
 def _basic(word: str) -> list[str]:
-    spaced = "".join(f" {c} " if _punctuation(c) else c for c in _plain(word))
-    return spaced.split()
-
-
-def _pieces(token: str, vocab, unknown):
-    """Greedy longest match; the whole token is unknown when a rest does not match."""
-    if len(token) > MAX_WORD:
-        return [unknown]
-    found, start = [], 0
-    while start < len(token):
-        mark = "##" if start else ""
-        end = next(
-            (e for e in range(len(token), start, -1) if mark + token[start:e] in vocab), None
-        )
-        if end is None:
-            return [unknown]
-        found.append(vocab[mark + token[start:end]])
-        start = end
-    return found
+    """Tokens of one word of :func:`words`."""
+    if _FAST.fullmatch(word):
+        plain = word.lower()
+        return [plain] if plain.isalnum() else _PUNCT.sub(r" \g<0> ", plain).split()
+    out: list[str] = []
+    for part in "".join(map(_character, word)).split():
+        plain = _plain(part)
+        if plain.isalnum():
+            out.append(plain)
+        else:
+            out += "".join(f" {c} " if _punctuation(c) else c for c in plain).split()
+    return out
+
+
+def _plain_words(word: str) -> list[str]:
+    return [_plain(p) for p in "".join(map(_character, word)).split()]
+
+
+class _Pieces:
+    """Greedy longest match over a vocabulary of whole-word and ``##`` pieces."""
+
+    def __init__(self, vocab: dict, unknown):
+        self.heads, self.unknown = vocab, [unknown]
+        self.tails = {t[2:]: v for t, v in vocab.items() if t.startswith("##")}
+        self.longest = max(map(len, vocab), default=1)
+
+    def __call__(self, token: str) -> list:
+        if len(token) > MAX_WORD:
+            return self.unknown
+        found, start, table = [], 0, self.heads
+        while start < len(token):
+            for end in range(min(len(token), start + self.longest), start, -1):
+                value = table.get(token[start:end])
+                if value is not None:
+                    break
+            else:
+                return self.unknown
+            found.append(value)
+            start, table = end, self.tails
+        return found
 
 
 def per_distinct_word(make: Callable[[], Callable[[str], list]], element: T.DataType):
@@ -119,8 +163,9 @@ def per_distinct_word(make: Callable[[], Callable[[str], list]], element: T.Data
     return run
 
 
-def lower_strip_accents(words_column: Column) -> Column:
-    return per_distinct_word(lambda: lambda w: [_plain(w)], T.StringType())(words_column)
+def lower_strip_accents(text: Column) -> Column:
+    """Words of the text, cleaned, in lower case and without accents."""
+    return per_distinct_word(lambda: _plain_words, T.StringType())(words(text))
 
 
 def basic_tokens(text: Column) -> Column:
@@ -146,7 +191,7 @@ def wordpiece_ids(tokens: Column, lookup) -> Column:
     """Tokens -> piece ids by greedy longest match."""
     def make():
         table = lookup.value
-        return lambda token: _pieces(token, table, table.get("[UNK]", UNK))
+        return _Pieces(table, table.get("[UNK]", UNK))
 
     return per_distinct_word(make, T.IntegerType())(tokens)
 
@@ -154,8 +199,7 @@ def wordpiece_ids(tokens: Column, lookup) -> Column:
 def wordpieces(tokens: Column, lookup) -> Column:
     """Tokens -> piece texts."""
     def make():
-        names = {token: token for token in lookup.value}
-        return lambda token: _pieces(token, names, "[UNK]")
+        return _Pieces({token: token for token in lookup.value}, "[UNK]")
 
     return per_distinct_word(make, T.StringType())(tokens)
 
@@ -164,8 +208,8 @@ def encode_documents(docs: DataFrame, lookup, text: str = "text") -> DataFrame:
     """Add ``ids``: the text's piece ids. One pass over the text in one UDF."""
     def make():
         table = lookup.value
-        unknown = table.get("[UNK]", UNK)
-        return lambda word: [i for t in _basic(word) for i in _pieces(t, table, unknown)]
+        pieces = _Pieces(table, table.get("[UNK]", UNK))
+        return lambda word: [i for token in _basic(word) for i in pieces(token)]
 
     return docs.withColumn("ids", per_distinct_word(make, T.IntegerType())(words(F.col(text))))
 
@@ -183,15 +227,15 @@ def token_to_id(
     value = F.col("id") if skip_unknown else F.when(
         F.col("_pos").isNotNull(), F.coalesce("id", F.lit(UNK))
     )
-    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("_pos", value.alias("id")))))
+    pairs = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct("_pos", value.alias("id")))))
     return found.groupBy(key).agg(F.transform(pairs, lambda p: p["id"].cast("int")).alias("ids"))
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids") -> DataFrame:
     """Per ``key`` the tokens of its ids, in order."""
-    rows = df.select(key, F.posexplode(ids).alias("_pos", "id"))
+    rows = df.select(key, F.posexplode_outer(ids).alias("_pos", "id"))
     found = rows.join(vocab.select("id", "token"), "id")
-    pairs = F.array_sort(F.collect_list(F.struct("_pos", "token")))
+    pairs = F.sort_array(F.collect_list(F.struct("_pos", "token")))
     return found.groupBy(key).agg(F.transform(pairs, lambda p: p["token"]).alias("tokens"))
 
 
@@ -200,7 +244,11 @@ def token_counts(docs: DataFrame, ident: str, tokens: str = "tokens") -> DataFra
 
     ``first`` packs (ident, position): ident below 2^39, fewer than 2^24 tokens a row.
     """
-    rows = docs.select(ident, F.posexplode(tokens).alias("_pos", "token"))
+    # The outer form: from the inner one Spark infers a filter on the array's size,
+    # which would run the tokenizer a second time.
+    rows = docs.select(ident, F.posexplode_outer(tokens).alias("_pos", "token")).filter(
+        F.col("token").isNotNull()
+    )
     place = F.shiftleft(F.col(ident), 24) + F.col("_pos")
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
 

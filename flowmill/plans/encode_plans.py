@@ -160,7 +160,7 @@ def duplicate_instances(spark, sf_dir):
 @query("mask_plan", "select flow_key, cast(dup as int) dup, cast(pos as int) as position from size_plan", "size_plan")
 def mask_plan(spark, sf_dir):
     plan = ma.picked_positions(F.col("src_size"), SEED, [F.col("flow_key"), F.col("dup")])
-    return dup_rows(spark, sf_dir).select("flow_key", "dup", F.explode(plan).alias("position"))
+    return dup_rows(spark, sf_dir).select("flow_key", "dup", F.explode_outer(plan).alias("position"))
 
 
 define("raw_plan", """
@@ -179,7 +179,7 @@ def mask_tokens(spark, sf_dir):
     rows = en.encode_raw(sequences(spark, sf_dir, 8)).withColumn("dup", F.lit(0))
     return (
         ma.mask_raw(rows, SEED)
-        .select("flow_key", "src_masked", F.explode("tgt").alias("t"))
+        .select("flow_key", "src_masked", F.explode_outer("tgt").alias("t"))
         .select(
             "flow_key", F.col("t.pos").alias("position"), F.col("t.token").alias("token"),
             F.get("src_masked", F.col("t.pos")).alias("masked"),
@@ -234,7 +234,7 @@ def mask_spans(spark, sf_dir):
     rows = en.encode_raw(sequences(spark, sf_dir, 8)).withColumn("dup", F.lit(0))
     return (
         ma.mask_raw(rows, SEED, spans=True)
-        .select("flow_key", "src_masked", F.explode("tgt").alias("t"))
+        .select("flow_key", "src_masked", F.explode_outer("tgt").alias("t"))
         .select(
             "flow_key", F.col("t.pos").alias("position"), F.col("t.token").alias("token"),
             F.get("src_masked", F.col("t.pos")).alias("masked"),
@@ -263,7 +263,7 @@ def mask_synchronized(spark, sf_dir):
     masked = ma.static_masking(dup_rows(spark, sf_dir), SEED)
     return (
         masked.select("flow_key", "dup", "size_masked", "iat_masked",
-                      F.inline(F.arrays_zip("tgt_size", "tgt_iat")))
+                      F.inline_outer(F.arrays_zip("tgt_size", "tgt_iat")))
         .select(
             "flow_key", "dup", F.col("tgt_size.pos").alias("position"),
             F.col("tgt_size.token").alias("size_token"), F.col("tgt_iat.token").alias("iat_token"),
@@ -337,7 +337,7 @@ def dynamic_masking(spark, sf_dir):
     ]
     return (
         epochs[0].unionByName(epochs[1])
-        .select("flow_key", "epoch", "size_masked", "iat_masked", F.explode("tgt_size").alias("t"))
+        .select("flow_key", "epoch", "size_masked", "iat_masked", F.explode_outer("tgt_size").alias("t"))
         .select(
             "flow_key", "epoch", F.col("t.pos").alias("position"),
             F.get("size_masked", F.col("t.pos")).alias("size_masked"),
@@ -390,7 +390,7 @@ def flow_entropy_reliability(spark, sf_dir):
 def local_entropy(spark, sf_dir):
     rows = en.encode_raw(sequences(spark, sf_dir, 8))
     return rows.select(
-        "flow_key", F.posexplode(entropy.local_reliability(F.col("src"))).alias("position", "r")
+        "flow_key", F.posexplode_outer(entropy.local_reliability(F.col("src"))).alias("position", "r")
     ).select("flow_key", "position", F.round("r", 6).alias("reliability"))
 
 
@@ -456,7 +456,7 @@ def masked_token_count(spark, sf_dir):
 """, "size_masked")
 def masked_accuracy(spark, sf_dir):
     masked = ma.static_masking(dup_rows(spark, sf_dir), SEED)
-    targets = masked.select("flow_key", "dup", F.inline("tgt_iat")).withColumnRenamed("token", "target")
+    targets = masked.select("flow_key", "dup", F.inline_outer("tgt_iat")).withColumnRenamed("token", "target")
     # Stand-in predictions: the target moved by a uniform step in -20..20.
     guess = F.floor(uniform(SEED, "guess", F.col("flow_key"), F.col("dup"), F.col("pos")) * 41.0) - 20
     return ev.masked_accuracy(targets.withColumn("prediction", F.col("target") + guess.cast("int")))

@@ -74,7 +74,7 @@ def space_cjk(spark, sf_dir):
   from spaced
 """, "spaced")
 def lower_strip_accents(spark, sf_dir):
-    plain = tx.lower_strip_accents(tx.words(F.col("text")))
+    plain = tx.lower_strip_accents(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.array_join(plain, " ").alias("tokens"))
 
 
