@@ -51,15 +51,15 @@ def _cut(keys: Column, n: Column) -> Column:
 def _random_id(u: Column, vocab_size: int) -> Column:
     """Uniform over the ids that may replace a token: UNK and the non-reserved ones."""
     r = F.floor(u * (vocab_size - RESERVED + 1)).cast("int")
-    return F.when(r == 0, UNK).otherwise(r + RESERVED - 1).cast("int")
+    return let(r, lambda k: F.when(k == 0, UNK).otherwise(k + RESERVED - 1).cast("int"))
 
 
 def _replace(token: Column, draw: Column, other: Column, vocab_size: int) -> Column:
-    return (
-        F.when(draw < KEEP_AS_MASK, F.lit(MASK).cast("int"))
-        .when(draw < KEEP_AS_RANDOM, _random_id(other, vocab_size))
+    return let(draw, lambda d: (
+        F.when(d < KEEP_AS_MASK, F.lit(MASK).cast("int"))
+        .when(d < KEEP_AS_RANDOM, _random_id(other, vocab_size))
         .otherwise(token)
-    )
+    ))
 
 
 def picked_positions(seq: Column, seed, ident: list[Column]) -> Column:
@@ -141,7 +141,7 @@ def _span_cumulative(p: float, longest: int) -> list[float]:
 def span_length(u: Column, p: float = SPAN_P, longest: int = SPAN_MAX) -> Column:
     """Truncated geometric length 1..longest from a uniform draw."""
     steps = F.array(*[F.lit(c) for c in _span_cumulative(p, longest)])
-    return F.size(F.filter(steps, lambda c: u >= c)) + 1
+    return let(u, lambda v: F.size(F.filter(steps, lambda c: v >= c)) + 1)
 
 
 # Spans are kept as one int each while they are chosen: position * SLOT + length.

@@ -29,15 +29,15 @@ def ip_offset(frame: Column, linktype: Column, caplen: Column) -> Column:
     )
 
 
-def decode_packets(frames: DataFrame, keep_payload: bool = True) -> DataFrame:
+def decode_packets(
+    frames: DataFrame, keep_payload: bool = True, keep_frame: bool = False
+) -> DataFrame:
     """Frames -> IPv4 TCP/UDP packets; every other frame is dropped.
 
     Adds proto, endpoints, ``len`` (payload bytes by the IP header's length,
     cut to what was captured) and ``payload``. The header length rules, so that
     link padding is not payload.
     """
-    # The few header bytes are cut out first; expressions below never touch
-    # the rest of the frame.
     cap = F.octet_length("frame")
     step = frames.withColumn("_ip", ip_offset(F.col("frame"), F.col("linktype"), cap))
     step = step.filter(F.col("_ip").isNotNull() & (cap >= F.col("_ip") + 20))
@@ -72,7 +72,8 @@ def decode_packets(frames: DataFrame, keep_payload: bool = True) -> DataFrame:
     })
     if keep_payload:
         step = step.withColumn("payload", F.substring(frame, F.col("_at"), F.col("len")))
-    return step.drop("_ip", "_version", "_l4", "_total", "_at", "frame")
+    step = step.drop("_ip", "_version", "_l4", "_total", "_at")
+    return step if keep_frame else step.drop("frame")
 
 
 def ipv4_tcp_udp(packets: DataFrame) -> DataFrame:

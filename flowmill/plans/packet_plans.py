@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill import fixtures as fx
-from flowmill.functions.arrays import joined
 from flowmill.operators import flows as fl
 from flowmill.operators import packets as pkt
 from flowmill.plans.oracle import define
@@ -83,9 +82,7 @@ def read_captures(spark, sf_dir):
 """, "filed", "keyed")
 def write_flow_captures(spark, sf_dir):
     packets = cap.read_captures(spark, stored_captures(spark, sf_dir))
-    decoded = pkt.drop_udp_dns(
-        pkt.decode_packets(packets.withColumn("copy", F.col("frame")), keep_payload=False)
-    ).withColumnRenamed("copy", "frame")
+    decoded = pkt.drop_udp_dns(pkt.decode_packets(packets, keep_payload=False, keep_frame=True))
     out = shared_folder(spark, "flow-captures")
     cap.write_flow_captures(fl.assemble_flows(decoded), out)
     return cap.capture_listing(spark, out).select("label", "stem", F.col("length").alias("bytes"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmill import fixtures as fx
 from flowmill.functions.arrays import joined
+from flowmill.functions.ranking import with_rank
 from flowmill.operators import text as tx
 from flowmill.plans.flow_plans import sequences
 from flowmill.plans.oracle import define
@@ -182,9 +182,8 @@ def piece_vocab(spark, sf_dir):
     )
     frequent = lambda rows, least: rows.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("token")
     names = words.filter(F.col("n") >= 20).select("token").union(frequent(letters, 200)).union(frequent(pairs, 500))
-    ids = names.distinct().select(
-        "token", (F.row_number().over(Window.orderBy("token")) + 4).cast("int").alias("id")
-    )
+    ranked = with_rank(names.distinct(), [], [F.col("token")], F.substring("token", 1, 2))
+    ids = ranked.select("token", (F.col("rank") + 5).cast("int").alias("id"))
     unknown = ids.limit(1).select(F.lit("[UNK]").alias("token"), F.lit(1).alias("id"))
     return save_and_reload(ids.unionByName(unknown), "pieces")
 

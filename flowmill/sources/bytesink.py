@@ -1,4 +1,4 @@
-"""Write rows of (file, data) as files: the concatenated data of each file's rows.
+"""Write rows of (file, head, data) as files: a head, then the data of all its rows.
 
 Spark's own writers end every row with a separator and choose file names
 themselves; capture export needs exact bytes under given names, and a corpus
@@ -31,9 +31,8 @@ class _Writer(DataSourceArrowWriter):
         tag = uuid.uuid4().hex
         current, out, done = None, None, []
         for batch in iterator:
-            names = batch.column(batch.schema.get_field_index("file"))
-            datas = batch.column(batch.schema.get_field_index("data"))
-            for name, data in zip(names, datas):
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("file", "head", "data")]
+            for name, head, data in zip(*columns):
                 name = name.as_py()
                 if name != current:
                     if out is not None:
@@ -46,6 +45,7 @@ class _Writer(DataSourceArrowWriter):
                     out = filesystem.open_output_stream(part)
                     done.append((part, target))
                     current = name
+                    out.write(head.as_buffer())
                 out.write(data.as_buffer())
         if out is not None:
             out.close()
@@ -60,21 +60,27 @@ class ByteFiles(DataSource):
         return "byte_files"
 
     def schema(self):
-        return "file string, data binary"
+        return "file string, head binary, data binary"
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"])
 
 
-def write_files(df: DataFrame, path: str, file: Column, data: Column, order: list[str]) -> None:
-    """Write ``data`` of all rows of a ``file``, ordered by ``order``, to path/file."""
+def write_files(
+    df: DataFrame, path: str, file: Column, data: Column, order: list[str], head: Column | None = None
+) -> None:
+    """Write ``data`` of all rows of a ``file``, ordered by ``order``, to path/file.
+
+    ``head`` is the same in all rows of a file and written once, before them.
+    """
     spark = df.sparkSession
     spark.dataSource.register(ByteFiles)
+    head = F.lit(b"") if head is None else head
     keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
     (
-        df.select(file.alias("file"), data.alias("data"), *keys)
+        df.select(file.alias("file"), head.alias("head"), data.alias("data"), *keys)
         .repartition("file")
         .sortWithinPartitions("file", *[f"_o{i}" for i in range(len(order))])
-        .select("file", "data")
+        .select("file", "head", "data")
         .write.format("byte_files").mode("append").save(path)
     )

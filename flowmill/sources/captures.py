@@ -311,12 +311,7 @@ def write_captures(packets: DataFrame, path: str, file: str = "file") -> None:
     record = _record_bytes(
         F.col("ts_us"), F.octet_length("frame"), F.col("origlen"), F.col("frame")
     )
-    first = packets.groupBy(file).agg(F.min("linktype").alias("linktype"))
-    heads = first.select(
-        F.col(file).alias("file"), F.lit(-1).cast("bigint").alias("seq"), header.alias("data")
-    )
-    bodies = packets.select(F.col(file).alias("file"), "seq", record.alias("data"))
-    write_files(heads.unionByName(bodies), path, F.col("file"), F.col("data"), ["seq"])
+    write_files(packets, path, F.col(file), record, ["seq"], header)
 
 
 def write_flow_captures(flows: DataFrame, path: str) -> None:

@@ -34,18 +34,19 @@ def size_fragments(chunks: DataFrame) -> DataFrame:
     head = F.when(
         first, F.concat(F.lit(SEPARATOR + "\n"), F.col("proto").cast("string"), F.lit("\n"))
     ).otherwise(F.lit(" "))
-    piece = F.array(
-        F.struct(F.lit(0).alias("line"), F.concat(head, joined(F.col("size_tokens"))).alias("value")),
-        F.struct(
-            F.lit(1).alias("line"),
-            F.concat(F.when(first, F.lit("\n")).otherwise(F.lit(" ")), joined(F.col("iat_tokens"))).alias("value"),
-        ),
-    )
-    ends = chunks.filter(first).select(
-        "flow_key", F.lit(0).cast("bigint").alias("part"), F.lit(2).alias("line"), F.lit("\n").alias("value")
+    sizes = F.concat(head, joined(F.col("size_tokens")))
+    iats = F.concat(F.when(first, F.lit("\n")).otherwise(F.lit(" ")), joined(F.col("iat_tokens")))
+
+    def piece(line, value):
+        return F.struct(F.lit(line).alias("line"), value.alias("value"))
+
+    # The first chunk also brings the end of the record, which sorts last.
+    pieces = F.when(
+        first, F.array(piece(0, sizes), piece(1, iats), piece(2, F.lit("\n")))
+    ).otherwise(F.array(piece(0, sizes), piece(1, iats)))
+    return chunks.select("flow_key", "part", F.inline_outer(pieces)).select(
+        "flow_key", "part", "line", "value"
     )
-    pieces = chunks.select("flow_key", "part", F.inline(piece)).select("flow_key", "part", "line", "value")
-    return pieces.unionByName(ends)
 
 
 def write_size_corpus(chunks: DataFrame, path: str, files: int = 64) -> None:

@@ -3,8 +3,6 @@
 import struct
 
 import pytest
-from pyspark.sql import functions as F
-
 from flowmill.operators import flows as fl
 from flowmill.operators import packets as pkt
 from flowmill.sources import captures as cap
@@ -172,8 +170,7 @@ def test_flow_export_round_trip(spark, tmp_path):
     frames.insert(3, ETH + ipv4(proto=17, sport=7, dport=9))  # too short a flow
     (src / "web" / "c.pcap").write_bytes(pcap([(10 + i, 0, f) for i, f in enumerate(frames)], "<"))
     packets = cap.read_captures(spark, str(src))
-    decoded = pkt.decode_packets(packets.withColumn("copy", F.col("frame")), keep_payload=False)
-    flows = fl.assemble_flows(decoded.withColumnRenamed("copy", "frame"))
+    flows = fl.assemble_flows(pkt.decode_packets(packets, keep_payload=False, keep_frame=True))
     cap.write_flow_captures(flows, str(out))
     files = [p for p in out.rglob("*.pcap")]
     assert [str(p.relative_to(out)) for p in files] == ["web/c/TCP_10.0.0.1_1000_10.0.0.2_80.pcap"]
