@@ -75,7 +75,7 @@ def log_sum_exp(a: Column) -> Column:
 
 
 def joined(a: Column, sep: str = " ") -> Column:
-    return F.array_join(F.transform(a, lambda x: x.cast("string")), sep)
+    return F.array_join(a.cast("array<string>"), sep)
 
 
 def let(value: Column, body) -> Column:

@@ -253,6 +253,30 @@ def token_counts(docs: DataFrame, ident: str, tokens: str = "tokens") -> DataFra
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
 
 
+def corpus_token_counts(docs: DataFrame, ident: str, text: str = "text") -> DataFrame:
+    """(token, n, first, at) of raw texts, tokenizing each distinct word only once.
+
+    Words are counted in the JVM before they are split into tokens, so Python
+    sees the distinct words of the corpus and not its text. ``first`` is the
+    place of the first word with the token, ``at`` the token's place in it.
+    """
+    places = docs.select(ident, F.posexplode_outer(words(F.col(text))).alias("_pos", "word")).filter(
+        F.col("word").isNotNull()
+    )
+    place = F.shiftleft(F.col(ident), 24) + F.col("_pos")
+    distinct = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    split = per_distinct_word(lambda: _basic, T.StringType())(F.array("word"))
+    tokens = (
+        distinct.withColumn("_tokens", split)
+        .select("n", "first", "_tokens", F.explode_outer("_tokens").alias("token"))
+        .filter(F.col("token").isNotNull())
+        .withColumn("at", F.array_position("_tokens", F.col("token")))
+    )
+    return tokens.groupBy("token").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by("at", "first").alias("at")
+    )
+
+
 def union_counts(*parts: DataFrame) -> DataFrame:
     """Union of per-part counts: summed, first place kept."""
     rows = parts[0]
@@ -266,7 +290,7 @@ def word_count_vocab(counts: DataFrame, min_count: int = 1) -> DataFrame:
     spark = counts.sparkSession
     kept = counts.filter((F.col("n") >= min_count) & ~F.col("token").isin(*RESERVED_TOKENS))
     ranked = with_rank(
-        kept, [], [F.desc("n"), F.col("first")],
+        kept, [], [F.desc("n"), *[F.col(c) for c in ("first", "at") if c in kept.columns]],
         F.struct((-F.col("n")).alias("n"), F.shiftright("first", 36).alias("at")),
     )
     reserved = spark.createDataFrame(

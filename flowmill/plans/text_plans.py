@@ -93,7 +93,7 @@ def whitespace_tokens(spark, sf_dir):
 
 
 def counts(spark, sf_dir):
-    return tx.token_counts(tokenized(spark, sf_dir), "doc_id")
+    return tx.corpus_token_counts(docs(spark, sf_dir), "doc_id")
 
 
 @query("word_count_vocab", "select token, id, n from vocabulary", "vocabulary")

@@ -208,6 +208,15 @@ def test_vocabulary_order(spark):
     assert tx.word_count_vocab(tx.token_counts(docs, "doc_id"), 2).count() == 7
 
 
+def test_corpus_counts_equal_counts_of_tokens(spark):
+    texts = ["B-a b, a-b!", "c: a-a é É", "!!! b"] + ODD
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    tokens = docs.select("doc_id", tx.basic_tokens(F.col("text")).alias("tokens"))
+    slow = tx.word_count_vocab(tx.token_counts(tokens, "doc_id")).collect()
+    fast = tx.word_count_vocab(tx.corpus_token_counts(docs, "doc_id")).collect()
+    assert sorted(map(tuple, slow)) == sorted(map(tuple, fast))
+
+
 def test_hard_negatives(spark):
     rows = [(i, i // 4, [1.0, i / 10], [i / 5, 1.0]) for i in range(9)]
     df = spark.createDataFrame(rows, "id bigint, batch_id bigint, raw array<double>, size array<double>")
