@@ -35,26 +35,27 @@ def with_rank(
     dropped before any row is sorted. It must be monotone: once false at a
     rank, false at all later ranks.
     """
+    # The group is held in one struct: equal also where a key is null, and the
+    # same two columns serve the join and the window, so rows move once.
     cut = df.withColumn("_bucket", bucket)
-    sizes = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    group = Window.partitionBy(*by)
+    keys = ["_bucket"]
+    if by:
+        cut = cut.withColumn("_group", F.struct(*by))
+        keys = ["_group", "_bucket"]
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*keys[:-1])
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if total:
         sizes = sizes.withColumn(total, F.sum("_rows").over(group))
+    sizes = sizes.drop("_rows")
     if keep is not None:
-        sizes = sizes.withColumn(rank, F.col("_before")).filter(keep)
-    keys = [*by, "_bucket"]
-    added = ["_before"] + ([total] if total else [])
-    sizes = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *added)
-    condition = F.lit(True)
-    for i, k in enumerate(keys):
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    joined = cut.join(sizes, condition).drop(*[f"_key{i}" for i in range(len(keys))])
-    within = Window.partitionBy(*by, "_bucket").orderBy(*order)
+        sizes = sizes.withColumn(rank, F.col("_before")).filter(keep).drop(rank)
+    joined = cut.join(sizes, keys)
+    within = Window.partitionBy(*keys).orderBy(*order)
     ranked = joined.withColumn(
         rank, (F.col("_before") + F.row_number().over(within) - 1).cast("bigint")
     )
     if keep is not None:
         ranked = ranked.filter(keep)
-    return ranked.drop("_bucket", "_before")
+    return ranked.drop("_before", *keys)
