@@ -29,7 +29,7 @@ def with_rank(
 ) -> DataFrame:
     """Add the 0-based rank of each row within its group.
 
-    ``bucket`` must be non-decreasing in ``order``. ``total`` names a column for
+    ``bucket`` must be non-decreasing in ``order`` and not null. ``total`` names a column for
     the group size. ``keep`` is a condition on the rank (and total) columns,
     for instance ``F.col("rank") < 500``: buckets that start beyond it are
     dropped before any row is sorted. It must be monotone: once false at a
