@@ -31,6 +31,13 @@ def test_split_is_complete_and_disjoint(spark):
     assert sorted(rows) == sorted(sp.stratified_split(df.repartition(1)).collect())
 
 
+def test_rare_labels_are_dropped_before_ids_are_given(spark):
+    df = samples(spark, {"c": 10, "b": 9, "a": 11, "d": 300})
+    counts = sp.label_counts(df)
+    assert {(r.label_name, r.n) for r in counts.collect()} == {("a", 11), ("c", 10), ("d", 300)}
+    assert {(r.label_name, r.label) for r in sp.label_ids(counts).collect()} == {("a", 0), ("c", 1), ("d", 2)}
+
+
 @pytest.mark.parametrize("ratio", [0.001, 0.05, 0.5, 1.0])
 def test_few_shot(spark, ratio):
     sizes = {"a": 211, "b": 19, "c": 1}
