@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.arrays import hex_fixed
 from flowmill.sources.bytesink import write_files
-from flowmill.sources.files import resolve
+from flowmill.sources.files import path_part, resolve
 
 # File layout. Magic -> (byte order, ticks per second).
 MAGIC = {
@@ -34,8 +34,8 @@ def capture_listing(spark: SparkSession, root: str) -> DataFrame:
 
     The label is the directory relative to the root, ``unlabeled`` at the root.
     """
-    base = root if "://" in root or root.startswith("file:") else f"file:{root}"
-    prefix = "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in base.rstrip("/")) + "/"
+    # Compared without scheme and host, which a listing may complete.
+    base = path_part(root).rstrip("/") + "/"
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -43,7 +43,8 @@ def capture_listing(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select("path", "length")
     )
-    inner = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), prefix, "")
+    plain = F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?/*", "/")
+    inner = F.substring(plain, F.instr(plain, base) + len(base), F.length(plain))
     label = F.regexp_extract(inner, r"^(.*)/[^/]*$", 1)
     return files.select(
         "path",

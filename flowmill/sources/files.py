@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlparse
+import re
+from urllib.parse import quote
 
 from pyarrow import fs
 
 
+def path_part(path: str) -> str:
+    """The path without scheme and host; names are taken as they stand, not decoded."""
+    return re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?/*", "/", path) if ":" in path else path
+
+
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
-    scheme = urlparse(path).scheme
-    if scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(urlparse(path).path) if scheme else path
-    return fs.FileSystem.from_uri(path)
+    """File system and path within it, for a path as Spark lists it."""
+    remote = re.match(r"([A-Za-z][\w+.-]*)://([^/]*)/(.*)", path)
+    if remote is None or remote[1] == "file":
+        return fs.LocalFileSystem(), path_part(path)
+    return fs.FileSystem.from_uri(f"{remote[1]}://{remote[2]}/{quote(remote[3])}")

@@ -6,6 +6,7 @@ import pytest
 from flowmill.operators import flows as fl
 from flowmill.operators import packets as pkt
 from flowmill.sources import captures as cap
+from flowmill.sources.files import path_part
 
 PAY = b"hello world"
 
@@ -162,6 +163,24 @@ def test_listing(spark, tmp_path):
     assert rows == {("a", "x", 4), ("a/b", "y", 4), ("unlabeled", "z", 4)}
 
 
+def test_odd_file_names(spark, tmp_path):
+    root = tmp_path / "in put"
+    (root / "a #b").mkdir(parents=True)
+    (root / "a #b" / "c%20d e.pcap").write_bytes(pcap(many(3)))
+    rows = cap.read_captures(spark, str(root)).collect()
+    assert {(r.label, r.stem) for r in rows} == {("a #b", "c%20d e")} and len(rows) == 3
+    rows = cap.read_captures(spark, f"file://{root}/").collect()
+    assert {(r.label, r.stem) for r in rows} == {("a #b", "c%20d e")}
+
+
+@pytest.mark.parametrize("path, local", [
+    ("/a/b", "/a/b"), ("file:/a/b", "/a/b"), ("file:///a/b", "/a/b"), ("a/b", "a/b"),
+    ("hdfs://host:8020/a/b", "/a/b"), ("hdfs:///a/b", "/a/b"), ("s3a://bucket/a", "/a"),
+])
+def test_paths_without_scheme_and_host(path, local):
+    assert path_part(path) == local
+
+
 def test_flow_export_round_trip(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     (src / "web").mkdir(parents=True)
