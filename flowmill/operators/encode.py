@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.functions.arrays import frame_with, no_ints, repeat_int
+from flowmill.functions.arrays import frame_with, no_ints
 from flowmill.operators.packets import clamp_id, direction_index
 
 # Reserved ids, vocabulary sizes, lengths.

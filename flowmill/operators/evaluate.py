@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.functions.arrays import let, log_sum_exp
+from flowmill.functions.arrays import log_sum_exp
 
 # Fixed values.
 SMALL, MASKED_SMALL, SIGMA = 1e-9, 1e-6, 10

@@ -13,7 +13,6 @@ from flowmill.operators import evaluate as ev
 from flowmill.operators import masking as ma
 from flowmill.plans.flow_plans import sequences
 from flowmill.plans.oracle import define
-from flowmill.plans.packet_plans import kept
 from flowmill.plans.registry import query
 from flowmill.session import shared_folder
 from flowmill.sources import tables
