@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowmill.llm import ngram_jaccard
+from flowmill.llm import ngram_jaccard, ordinal, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, fitted on the graded labels."""
+    docs = _table(spark, sf_dir, "documents")
+    model = ordinal.fit_grades(docs, ordinal.label_grades(_table(spark, sf_dir, "labels")), n_grades=3, accept_grade=2)
+    graded = ordinal.grade_documents(docs.select("doc_id", "text"), model, accept_grade=2)
+    return graded.select(
+        "doc_id", "expected_grade", "tail_probability", F.col("accepted").alias("kept"))
+
+
+@_query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 @_query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9."""

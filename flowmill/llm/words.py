@@ -64,15 +64,21 @@ class Slice:
     ends: np.ndarray
     word_bounds: np.ndarray  # rows + 1 offsets into starts
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; ``lower`` takes A-Z as a-z."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=_U)
+    def span_hasher(self, lower: bool = False):
+        """A function from (starts, ends) to a 64-bit hash of each span; ``lower`` takes A-Z as a-z."""
         n = len(self.data)
         sums = np.zeros(n + 1, dtype=_U)
         np.cumsum((_LOWER if lower else _VALUES)[self.data] * _powers(_BASE, n), out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * _powers(_BASE_INVERSE, n)[self.starts]
-        return mix(raw + (self.ends - self.starts).astype(_U))
+        back = _powers(_BASE_INVERSE, n + 1)
+
+        def hashed(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(_U))
+
+        return hashed
+
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.span_hasher(lower)(self.starts, self.ends)
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
