@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import mixing, ngram_jaccard, ordinal, packing
+from flowmill.llm import mixing, ngram_jaccard, order_minhash, ordinal, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+@_query("op9_order_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and likeness to the latter and to the next document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    near = order_minhash.with_neighbours(docs)
+    return near.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        order_minhash.fingerprint_text(F.col("entries")).alias("fingerprint"),
+        order_minhash.fingerprint_text(F.col("edited_entries")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        order_minhash.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"))
+
+
 @_query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9."""
