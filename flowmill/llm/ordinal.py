@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from flowmill.llm.ngram_jaccard import shingle_sets
 from flowmill.llm.words import Slice, mix, slices
+from flowmill.session import save_and_reload
 
 WORD_BITS = 19
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
@@ -153,31 +154,10 @@ def _minimised(value_and_gradient, x: np.ndarray, steps: int, memory: int = 8) -
     return x
 
 
-def _telling(features, owner_grade, grades, n_grades: int) -> np.ndarray:
-    """Which features' presence goes with lower grades, by chi-squared of each cut between grades.
-
-    Words that go with higher grades are left out: a long text has many, and they would
-    outweigh the few that make it poor.
-    """
-    rows, told = len(grades), np.zeros(SIZE, dtype=bool)
-    told[1 << WORD_BITS :] = True
-    seen = np.bincount(features, minlength=SIZE).astype(np.float64)
-    for k in range(1, n_grades):
-        share = (grades >= k).mean()
-        if 0 < share < 1:
-            above = np.bincount(features[owner_grade >= k], minlength=SIZE)
-            spread = seen * share * (1 - share) * (rows - seen) / rows
-            lack = np.maximum(seen * share - above, 0)
-            told |= lack**2 >= LEAST_CHI2 * np.maximum(spread, 1e-9)
-    return told & ((seen >= LEAST_SEEN) | (np.arange(SIZE) >= 1 << WORD_BITS))
-
-
 def fit(bounds, features, values, grades: np.ndarray, n_grades: int, *, steps: int = 100, l2: float = 0.1) -> OrdinalModel:
     """Penalised maximum likelihood over all rows; grades weigh alike."""
     rows = len(grades)
     owner = np.repeat(np.arange(rows), np.diff(bounds))
-    told = _telling(features, grades[owner], grades, n_grades)[features]
-    owner, features, values = owner[told], features[told], values[told]
     used, column = np.unique(features, return_inverse=True)
     counts = np.bincount(grades, minlength=n_grades)
     own = (rows / np.maximum(counts, 1) / max(1, (counts > 0).sum()))[grades]
@@ -230,17 +210,21 @@ def fit_grades(docs: DataFrame, grades: DataFrame, *, n_grades: int, accept_grad
     known = known.filter("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "grade", "text").mapInArrow(
-        _sparse_rows, "id bigint, grade int, least bigint, features binary, values binary").toArrow()
-    if not rows.num_rows:
-        return nothing
-    rows = rows.sort_by("id")
     # Near copies would make all their words look telling: one row for each least shingle.
-    _, first = np.unique(rows.column("least").to_numpy(), return_index=True)
-    rows = rows.take(pa.array(np.sort(first)))
-    grade = rows.column("grade").to_numpy().astype(np.int64)
-    if len(np.unique(grade)) < 2:
+    found = texts.join(F.broadcast(sample), "id").select("id", "grade", "text").mapInArrow(
+        _with_least, "id bigint, grade int, least bigint, text string")
+    found = save_and_reload(found, "sample")
+    first = found.groupBy("least").agg(F.min("id").alias("id"))
+    chosen = found.join(F.broadcast(first), ["least", "id"]).dropDuplicates(["id"])
+    chosen = save_and_reload(chosen, "sample")
+    sizes = {r["grade"]: r["n"] for r in chosen.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return nothing
+    told = np.zeros(1 << WORD_BITS, dtype=bool)
+    told[[r["feature"] for r in _telling(chosen, sizes, n_grades).collect()]] = True
+    rows = chosen.mapInArrow(
+        _sparse_rows(told), "id bigint, grade int, features binary, values binary").toArrow().sort_by("id")
+    grade = rows.column("grade").to_numpy().astype(np.int64)
     lengths = [len(x) // 4 for x in rows.column("features").to_pylist()]
     features = np.frombuffer(b"".join(rows.column("features").to_pylist()), dtype="<i4")
     values = np.frombuffer(b"".join(rows.column("values").to_pylist()), dtype="<f4")
@@ -256,17 +240,61 @@ def fit_grades(docs: DataFrame, grades: DataFrame, *, n_grades: int, accept_grad
     return model
 
 
-def _sparse_rows(batches):
+def _with_least(batches):
     for batch in batches:
-        features, values = [], []
         least = [int(x[0]) >> 1 if len(x) else 0 for x in shingle_sets(batch.column(2), 5)]
-        for part in slices(batch.column(2)):
-            bounds, own, value = text_features(part)
-            features += [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            values += [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(least, type=pa.int64()), pa.array(features, type=pa.binary()),
-             pa.array(values, type=pa.binary())], names=["id", "grade", "least", "features", "values"])
+            [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(least, type=pa.int64()), batch.column(2)],
+            names=["id", "grade", "least", "text"])
+
+
+def _telling(rows: DataFrame, sizes: dict[int, int], n_grades: int) -> DataFrame:
+    """(feature): word features that go with lower grades, by chi-squared of each cut between grades.
+
+    Words that go with higher grades are left out: a long text has many, and they would
+    outweigh the few that make it poor. At most 2^WORD_BITS rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            grade = batch.column("grade").to_numpy()
+            for part in slices(batch.column("text")):
+                bounds, features, _ = text_features(part)
+                owner = np.repeat(grade[part.first : part.first + part.rows], np.diff(bounds))
+                words = features < 1 << WORD_BITS
+                key, n = np.unique(features[words].astype(np.int64) * n_grades + owner[words], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key // n_grades).astype(np.int32)), pa.array((key % n_grades).astype(np.int32)),
+                     pa.array(n.astype(np.int64))], names=["feature", "grade", "n"])
+
+    counts = rows.select("grade", "text").mapInArrow(run, "feature int, grade int, n bigint")
+    counts = counts.groupBy("feature").agg(
+        F.sum("n").alias("seen"),
+        *[F.sum(F.when(F.col("grade") >= k, F.col("n")).otherwise(0)).alias(f"above{k}") for k in range(1, n_grades)])
+    all_rows = sum(sizes.values())
+    telling = F.lit(False)
+    for k in range(1, n_grades):
+        share = sum(n for g, n in sizes.items() if g >= k) / all_rows
+        if 0 < share < 1:
+            lack = F.greatest(F.col("seen") * share - F.col(f"above{k}"), F.lit(0.0))
+            spread = F.col("seen") * (all_rows - F.col("seen")) * (share * (1 - share) / all_rows)
+            telling = telling | (lack * lack >= LEAST_CHI2 * F.greatest(spread, F.lit(1e-9)))
+    return counts.filter((F.col("seen") >= LEAST_SEEN) & telling).select("feature")
+
+
+def _sparse_rows(told: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            features, values = [], []
+            for part in slices(batch.column("text")):
+                bounds, own, value = text_features(part, told)
+                features += [own[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                values += [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("grade"), pa.array(features, type=pa.binary()),
+                 pa.array(values, type=pa.binary())], names=["id", "grade", "features", "values"])
+
+    return run
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, *, accept_grade: int, text_col: str = "text") -> DataFrame:
