@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import mixing, ngram_jaccard, order_minhash, ordinal, packing
+from flowmill.llm import fertility, mixing, ngram_jaccard, order_minhash, ordinal, packing
+from flowmill.session import save_and_reload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the fertility bands of its language."""
+    counts = save_and_reload(fertility.measured(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+        keep=["doc_id", "lang"]), "counts")
+    return fertility.judged(counts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "n_byte_tokens", *fertility.MEASURES)
+
+
 @_query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
