@@ -153,11 +153,13 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("key"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = with_fingerprint(rows, "text", "entries", k=k).select(
-        "key", F.xxhash64("text").alias("digest"), F.length("text").alias("n_chars"),
+        "key", (F.col("key") != _NO_ID).alias("named"), F.xxhash64("text").alias("digest"), F.length("text").alias("n_chars"),
         F.col("entries").cast("array<int>").alias("entries"))
     own = save_and_reload(own, "fingerprints")
-    distinct = own.groupBy("key", "digest").agg(F.min("n_chars").alias("n_chars"), F.min("entries").alias("entries"))
-    named = distinct.filter(F.col("key") != _NO_ID)
+    distinct = own.groupBy("key", "digest", "named").agg(
+        F.min("n_chars").alias("n_chars"), F.min("entries").alias("entries"))
+    # A stored flag rather than a condition on the key, which would be pushed to one use of the texts only.
+    named = distinct.filter("named")
     order = save_and_reload(next_ids(named.select(F.col("key").alias("id")).distinct()), "order")
     # What each id lends: to whom, how much at most, and which of its texts.
     lends = named.groupBy("key").agg(F.min("digest").alias("digest"), F.max("n_chars").alias("n_chars"))
@@ -166,8 +168,11 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         taken.select(F.col("next_id").alias("key"), F.col("id").alias("borrower"), "most"), "key")
     lends = lends.join(named.select("key", "digest", F.col("entries").alias("next_entries")), ["key", "digest"])
 
+    # Both uses have the same columns, key and join key, so that the exchange of texts is reused; the
+    # digests are compared after the join, as a join key they would deal the texts anew.
     texts = rows.repartition(parts, "key")
-    lent = texts.join(lends.withColumnRenamed("digest", "_digest"), "key").filter(F.xxhash64("text") == F.col("_digest"))
+    same_text = F.xxhash64("text").bitwiseXOR(F.col("_digest")) == 0
+    lent = texts.join(lends.withColumnRenamed("digest", "_digest"), "key").filter(same_text)
     lent = lent.select(F.col("borrower").alias("key"), F.expr("substring(text, 1, most)").alias("lent"), "next_entries")
     if own.count() != lends.count():  # repeated rows lend alike
         lent = lent.dropDuplicates(["key"])
@@ -175,8 +180,8 @@ def with_neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n, quarter = F.length("text"), F.expr("length(text) div 4")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter),
                       F.coalesce(F.substring(F.col("lent"), F.lit(1), quarter), F.lit("")))
-    met = met.select("key", F.xxhash64("text").alias("digest"), edited.alias("edited"), "next_entries")
-    met = met.join(distinct, ["key", "digest"])
+    met = met.join(distinct.drop("named").withColumnRenamed("digest", "_digest"), "key").filter(same_text)
+    met = met.select("key", edited.alias("edited"), "n_chars", "entries", "next_entries")
     met = with_fingerprint(met, "edited", "edited_entries", k=k)
     return met.select(
         F.when(F.col("key") != _NO_ID, F.col("key")).alias(id_col), F.col("n_chars").cast("bigint"), "edited", "entries",
