@@ -174,7 +174,7 @@ def fences(counts: DataFrame, lang_col: str, *, spread: float, least_docs: int)
 
 LEAST_DISTANCE = 0.02  # of quartiles, so that a language of equal documents has a band
 #: Fences are wider by this over the root of the tokens: in a short text the measures scatter.
-SCATTER = {"chars_per_token": 5.0, "byte_share": 0.5, "entropy_share": 0.5}
+SCATTER = {"chars_per_token": 3.0, "byte_share": 0.3, "entropy_share": 0.3}
 
 
 def judged(counts: DataFrame, *, lang_col: str = "lang", spread: float = 4.0, least_docs: int = 200) -> DataFrame:
