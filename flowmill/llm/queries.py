@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import fertility, mixing, ngram_jaccard, order_minhash, ordinal, packing
-from flowmill.session import save_and_reload
+from flowmill.llm import fertility, mixing, ngram_jaccard, order_minhash, ordinal, packing, warc
+from flowmill.session import save_and_reload, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "expected_grade", "tail_probability", F.col("accepted").alias("kept"))
 
 
+@_query("op6_warc_bundles")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives written of all pages."""
+    path = shared_folder(spark, "bundles")
+    warc.write_bundles(_table(spark, sf_dir, "pages"), path)
+    return warc.read_bundles(spark, path).select(
+        F.expr("try_cast(record_id as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 @_query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""

@@ -11,8 +11,8 @@ id, among payloads of at least ``least`` bytes.
 
 Bundles are dealt by a hash of the record id into as many as the payload bytes need, so a bundle is
 bounded unless one record is larger; copies of one payload are revisits and do not gather anywhere.
-Every bundle is written by one task as a row of bytes and put in place by Spark's committer, so
-a retried task leaves one whole bundle.
+A task streams the frames of its bundles and renames each file when it ends, so a retried task
+leaves one whole bundle.
 
 Defined cases: null payloads are empty; a null id is written as a record of its own that
 refers to nothing and is never referred to; repeated rows are records of their own, all with the
@@ -30,15 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.session import save_and_reload
+from flowmill.llm.graph import small_enough
+from flowmill.sources.bytesink import ByteFiles
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 FRAME_BYTES = 256 << 10
-BUNDLE_BYTES = 16 << 20
-_NONE = -(1 << 63)
-BUNDLES = "bundle bigint, content binary"
+BUNDLE_BYTES = 32 << 20  # of payloads
+BROADCAST_ROWS = 200_000  # digests
+NO_ID = "none"
 INDEX = "record_id string, bundle bigint, frame int, offset bigint, length bigint"
 READ = ("record_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string,"
         " url string, payload binary")
@@ -54,7 +55,7 @@ def planned(records: DataFrame, *, id_col: str, payload_col: str, url_col: str |
     large = rows.filter((F.col("bytes") >= least) & F.col("id").isNotNull()).select("digest", "id")
     # Only digests met twice matter: what is joined is small unless most records are copies.
     twice = large.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(twice.drop("n"), "digest", "left").withColumn(
+    return rows.join(small_enough(twice.drop("n"), BROADCAST_ROWS), "digest", "left").withColumn(
         "response", F.when((F.col("id") != F.col("first")) & (F.col("bytes") >= least), F.col("first"))).drop("first")
 
 
@@ -65,7 +66,7 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, s
         f"WARC-Payload-Length: {size}"]
     if url is not None:
         # A header value is one line.
-        head.append("WARC-Target-URI: " + "".join(c if c not in "\r\n" else "%0D%0A"[:3] if c == "\r" else "%0A" for c in url))
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
         head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
@@ -111,49 +112,51 @@ def records_of(frame: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]
         at = end
 
 
-def _bundled(batches):
-    """Rows sorted by bundle -> (bundle, content); the index is read back from the bundles."""
+def _framed(batches):
+    """Rows sorted by bundle -> (file, head, data): the frames of each bundle, then its seek table."""
     packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    current, content, sizes, frame = None, bytearray(), [], bytearray()
+    current, sizes, frame = None, [], bytearray()
 
-    def close_frame():
-        if frame:
-            packed = packer.compress(bytes(frame))
-            sizes.append((len(packed), len(frame)))
-            content.extend(packed)
-            frame.clear()
-
-    def close_bundle():
-        close_frame()
-        done = pa.RecordBatch.from_arrays(
-            [pa.array([current], type=pa.int64()), pa.array([bytes(content) + seek_table(sizes)], type=pa.binary())],
-            names=["bundle", "content"])
-        content.clear(), sizes.clear()
-        return done
+    def row(data: bytes):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bundle_name(current)]), pa.array([b""], type=pa.binary()), pa.array([data], type=pa.binary())],
+            names=["file", "head", "data"])
+
+    def closed_frame():
+        packed = packer.compress(bytes(frame))
+        sizes.append((len(packed), len(frame)))
+        frame.clear()
+        return row(packed)
 
     for batch in batches:
         columns = [batch.column(n) for n in ("bundle", "id", "url", "payload", "digest", "bytes", "response")]
         for bundle, ident, url, payload, digest, size, response in zip(*columns):
             if bundle.as_py() != current:
                 if current is not None:
-                    yield close_bundle()
+                    if frame:
+                        yield closed_frame()
+                    yield row(seek_table(sizes))
+                    sizes.clear()
                 current = bundle.as_py()
             known, first = ident.as_py(), response.as_py()
             frame += record_bytes(
-                "none" if known is None else str(known), url.as_py(), payload.as_buffer(), digest.as_py(), size.as_py(),
+                NO_ID if known is None else str(known), url.as_py(), payload.as_buffer(), digest.as_py(), size.as_py(),
                 None if first is None else str(first))
             if len(frame) >= FRAME_BYTES:
-                close_frame()
+                yield closed_frame()
     if current is not None:
-        yield close_bundle()
+        if frame:
+            yield closed_frame()
+        yield row(seek_table(sizes))
 
 
 def write_bundles(
     records: DataFrame, path: str, *, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url",
     least: int = 100, bundle_bytes: int = BUNDLE_BYTES,
 ) -> None:
-    """Write the bundles as a table (bundle, content) below ``path``; a content is a whole archive."""
+    """Write the bundles as files ``bundle-<number>.warc.zst`` below ``path``."""
     spark = records.sparkSession
+    spark.dataSource.register(ByteFiles)
     rows = planned(records, id_col=id_col, payload_col=payload_col, url_col=url_col, least=least)
     stored = records.select(F.sum(F.octet_length(F.col(payload_col).cast("binary")).cast("bigint"))).first()[0] or 0
     bundles = max(1, -(-stored // bundle_bytes))
@@ -161,8 +164,8 @@ def write_bundles(
     dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("id", "digest"), F.lit(bundles)))
     dealt = dealt.repartition(tasks, "bundle").sortWithinPartitions("bundle", "id", "digest")
     dealt.select("bundle", "id", "url", F.when(F.col("response").isNull(), F.col("payload")).otherwise(
-        F.lit(b"")).alias("payload"), "digest", "bytes", "response").mapInArrow(_bundled, BUNDLES).write.option(
-        "compression", "none").parquet(path)
+        F.lit(b"")).alias("payload"), "digest", "bytes", "response").mapInArrow(
+            _framed, "file string, head binary, data binary").write.format("byte_files").mode("append").save(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +192,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BUNDLES).parquet(path)
+    """(bundle, content) of every bundle."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst").load(path)
+    return files.select(F.regexp_extract("path", r"bundle-(\d+)\.warc", 1).cast("bigint").alias("bundle"), "content")
+
+
+def bundle_name(number: int) -> str:
+    return f"bundle-{number:08d}.warc.zst"
 
 
 def _name(urn: str) -> str:
