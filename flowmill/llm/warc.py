@@ -180,13 +180,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     raw = zstandard.ZstdDecompressor().decompress(content[place : place + packed])
                     for offset, length, headers, _ in records_of(raw):
                         rows.append((_name(headers["WARC-Record-ID"]), bundle, number, offset, length))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)],
-                                                 names=["record_id", "bundle", "frame", "offset", "length"]) if rows else _empty()
-
-    def _empty():
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([], type=k) for k in kinds], names=["record_id", "bundle", "frame", "offset", "length"])
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)],
+                    names=["record_id", "bundle", "frame", "offset", "length"])
 
     return _contents(spark, path).mapInArrow(run, INDEX)
 
