@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import fertility, mixing, ngram_jaccard, order_minhash, ordinal, packing, warc
+from flowmill.llm import fertility, mixing, ngram_jaccard, order_minhash, ordinal, packing, url_filter, warc
 from flowmill.session import save_and_reload, shared_folder
 
+#: Hosts with these are examples of what to reject.
+SPAM_TERMS = ("pills", "bets", "casino", "viagra", "lottery", "xxx")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +32,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op2_url_filters")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by host rules, else by the ratio of two character models."""
+    return url_filter.judge_urls(
+        _table(spark, sf_dir, "pages").select("page_id", "url"), seed_terms=SPAM_TERMS)
+
+
 @_query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the fertility bands of its language."""
