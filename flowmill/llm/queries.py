@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import fertility, mixing, ngram_jaccard, order_minhash, ordinal, packing, url_filter, warc
+from flowmill.llm import fertility, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, url_filter, warc
 from flowmill.session import save_and_reload, shared_folder
 
 #: Hosts with these are examples of what to reject.
@@ -80,6 +80,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+@_query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, taken as a file of a directory tree."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return licenses.scan_licences(licenses.document_paths(docs), keep=("doc_id",))
+
+
 @_query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
