@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import fertility, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, url_filter, warc
+from flowmill.llm import fertility, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, tool_calls, url_filter, warc
 from flowmill.session import save_and_reload, shared_folder
 
 #: Hosts with these are examples of what to reject.
@@ -32,6 +32,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_tool_call_linking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, validated and serialised."""
+    calls, results = tool_calls.calls_of_conversations(_table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_tool_calls(calls, results, tool_calls.SCHEMAS)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
 @_query("op2_url_filters")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by host rules, else by the ratio of two character models."""
