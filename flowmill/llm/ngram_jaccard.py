@@ -8,11 +8,12 @@ are verified on their shingles.
 
 Where trees are built. One tree over all points would be one task, and a search of all leaves
 quadratic, so the root's children are keyed by content. Two sets that differ in at most d
-shingles agree wholly in one of d + 1 ranges of the hash space. Each set is therefore put
-below one key per range: (size level, range, sum of the hashes in the range). Every pair that
-links shares a key, keys of unrelated texts are distinct, and each key's members are one
-small tree. A range without shingles is no key; a set with such a range is keyed again
-with another hash function, and so is each partner that shares only empty ranges.
+shingles agree wholly in at least e + 1 of d + e + 1 ranges of the hash space. Each set is therefore
+put below one key per range: (size level, range, sum of the hashes in the range). Ranges
+without shingles are no key: if at most e of a set's are empty, one that agrees with any given
+partner is not. A set with more empty ranges is keyed again with another hash function, and so is
+each partner that shares only empty ranges with it. So every pair that links shares a key, keys of
+unrelated texts are distinct, and each key's members are one small tree.
 
 Large groups. Equal sets are one class from the start. Members of a key are dealt into
 stripes of bounded size and each looks for its nearest partners there; after the links found
@@ -41,7 +42,7 @@ from flowmill.session import save_and_reload
 
 _U = np.uint64
 GROUPS = 64  # coordinates of a point
-STRIPE = 512  # most members searched together
+STRIPE = 256  # most members searched together
 LEAF = 16  # entries of a tree node
 NEAREST = 2  # partners a member asks for in the first rounds
 DELEGATES = 8  # members of a component that look for other components
@@ -71,6 +72,11 @@ class Rule:
         """
         return 2 * larger * (100 - self.percent) // (100 + self.percent)
 
+    @staticmethod
+    def spare(d: int) -> int:
+        """Ranges beyond d + 1: so many of a set may be empty without hiding that another one agrees."""
+        return 1 + d // 20
+
     def levels(self, size: int) -> list[tuple[int, int]]:
         """(level, ranges) at which a set of this size is keyed; none where only equality links."""
         own = int(np.searchsorted(self.level_from, size, side="right")) - 1
@@ -79,7 +85,7 @@ class Rule:
             if level > own and 100 * size < self.percent * self.level_from[level]:
                 break
             if d := self.differ(self.level_from[level + 1] - 1):
-                found.append((level, d + 1))
+                found.append((level, d + 1 + self.spare(d)))
         return found
 
     def linked(self, overlap, a, b):
@@ -129,6 +135,7 @@ def keys_of(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     found = []
     salted = {}
     for level, ranges in rule.levels(len(shingles)):
+        spare = rule.spare(rule.differ(rule.level_from[level + 1] - 1))
         for salt in range(SALTS):
             if salt not in salted:
                 own = shingles if salt == 0 else np.sort(mix(shingles + _tag(salt)))
@@ -141,7 +148,7 @@ def keys_of(shingles: np.ndarray, rule: Rule) -> np.ndarray:
             place = np.flatnonzero(full if salt < SALTS - 1 else np.ones_like(full)).astype(_U)
             content = (sums[cuts[1:]] - sums[cuts[:-1]])[place.astype(np.int64)]
             found.append(mix(content + mix(place + _tag(level * SALTS + salt))))
-            if full.all():
+            if (~full).sum() <= spare:
                 break
     return np.concatenate(found) if found else np.zeros(0, dtype=_U)
 
