@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.llm.graph import small_enough
-from flowmill.llm.tokens import WordIds
+from flowmill.llm.tokens import WordIds, joined_ids
 from flowmill.llm.words import Slice, mix, slices
 
 _U = np.uint64
@@ -47,7 +47,7 @@ def _vocabulary(path: str) -> tuple[WordIds, np.ndarray]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())], dtype=bool)
-        _kept[path] = WordIds(lambda words: model.encode(words, num_threads=1)), is_byte
+        _kept[path] = WordIds(lambda words: joined_ids(model.encode(words, num_threads=1))), is_byte
     return _kept[path]
 
 

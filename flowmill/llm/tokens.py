@@ -9,17 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 
 from flowmill.llm.words import Slice
 
-MAX_WORDS = 400_000  # kept between slices
-MAX_IDS = 4_000_000
+MAX_WORDS = 600_000  # kept between slices
+MAX_IDS = 6_000_000
 
 
 class WordIds:
-    """Ids by word hash. ``encode`` gives a list of id lists for a list of words."""
+    """Ids by word hash. ``encode`` gives, for a list of words, their ids in a row and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list], lower: bool = False):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lower: bool = False):
         self.encode, self.lower = encode, lower
         self._clear()
 
@@ -34,23 +35,23 @@ class WordIds:
             self._clear()
         # Spelled-out special tokens are told apart by case, so only texts without them are folded.
         fold = self.lower and b"<|" not in part.data.tobytes()
-        distinct, first, inverse = np.unique(part.hashes(lower=fold), return_index=True, return_inverse=True)
+        codes, distinct = pd.factorize(part.hashes(lower=fold))
         keys = distinct.tolist()
-        place = self.place
-        new = [i for i, k in enumerate(keys) if k not in place]
-        if new:
+        where = np.fromiter((self.place.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            first = np.empty(len(keys), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             raw = part.data
-            words = [raw[part.starts[f] : part.ends[f]].tobytes().decode("utf-8", "replace") for f in first[new]]
-            found = self.encode(words)
-            counts = np.fromiter((len(x) for x in found), dtype=np.int64, count=len(found))
-            base, at = len(self.starts), len(self.ids)
-            self.starts = np.concatenate([self.starts, at + np.cumsum(counts) - counts])
+            words = [raw[a:b].tobytes().decode("utf-8", "replace")
+                     for a, b in zip(part.starts[first[new]].tolist(), part.ends[first[new]].tolist())]
+            flat, counts = self.encode(words)
+            where[new] = len(self.starts) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
-            flat = [np.asarray(x, dtype=np.uint32) for x in found]
-            self.ids = np.concatenate([self.ids, *flat]) if flat else self.ids
-            for i, n in enumerate(new):
-                place[keys[n]] = base + i
-        return inverse, np.fromiter((place[k] for k in keys), dtype=np.int64, count=len(keys))
+            self.ids = np.concatenate([self.ids, flat])
+            self.place.update(zip([keys[i] for i in new.tolist()], where[new].tolist()))
+        return codes, where
 
     def texts(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, each text's bounds in them)."""
@@ -61,32 +62,38 @@ class WordIds:
         return self.ids[np.repeat(self.starts[where][inverse], counts) + steps], bounds[part.word_bounds]
 
 
-def bpe_words(path: str, separator: str = "<|startoftext|>") -> Callable[[list[str]], list]:
+def joined_ids(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array and the length of each."""
+    counts = np.fromiter((len(x) for x in found), dtype=np.int64, count=len(found))
+    return np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(counts.sum())), counts
+
+
+def bpe_words(path: str, separator: str = "<|startoftext|>") -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Encoder of word lists for a ``tokenizers`` file.
 
     Many words go in one call with a special token between them, which the library splits
-    off before anything else; words that spell it out are encoded alone.
+    off before anything else; lists with words that may spell it out are encoded word by word.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     mark = tokenizer.token_to_id(separator)
 
-    def encode(words: list[str]) -> list:
-        joined = [i for i, w in enumerate(words) if "<" not in w and "|" not in w]
-        alone = [i for i, w in enumerate(words) if "<" in w or "|" in w]
-        found: list = [None] * len(words)
-        groups = [joined[i : i + 500] for i in range(0, len(joined), 500)]
-        texts = [separator.join(words[i] for i in g) for g in groups]
-        for group, got in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(got.ids, dtype=np.uint32)
-            pieces = np.split(ids, np.flatnonzero(ids == mark))
-            for i, own in zip(group, pieces):
-                found[i] = own
-            for i in group[1:]:
-                found[i] = found[i][1:]
-        for i, got in zip(alone, tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
-            found[i] = got.ids
-        return found
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = [], []
+        for at in range(0, len(words), 500):
+            text = separator.join(words[at : at + 500])
+            size = len(words[at : at + 500])
+            if text.count("<|") == size - 1:
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                marks = np.flatnonzero(ids == mark)
+                flat.append(ids[ids != mark])
+                counts.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            else:
+                found = tokenizer.encode_batch_fast(words[at : at + 500], add_special_tokens=False)
+                ids, n = joined_ids([x.ids for x in found])
+                flat.append(ids)
+                counts.append(n)
+        return np.concatenate(flat), np.concatenate(counts)
 
     return encode
