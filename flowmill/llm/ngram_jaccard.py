@@ -29,6 +29,7 @@ with several texts is one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,7 @@ class Rule:
         if not (1 <= width and 50 <= percent <= 100):
             raise ValueError("width >= 1 and 50 <= percent <= 100")
         self.width, self.percent = width, percent
+        self._ranges: dict[int, tuple[int, int]] = {}
         #: Sizes are cut into levels; a level serves pairs whose larger set is in it.
         self.level_from = [1]
         while self.level_from[-1] < 1 << 40:
@@ -72,20 +74,32 @@ class Rule:
         """
         return 2 * larger * (100 - self.percent) // (100 + self.percent)
 
-    @staticmethod
-    def spare(d: int) -> int:
-        """Ranges beyond d + 1: so many of a set may be empty without hiding that another one agrees."""
-        return 1 + d // 20
+    def ranges(self, level: int) -> tuple[int, int]:
+        """(ranges, spare) of a level: ``spare`` of a set's ranges may be empty without hiding a partner.
 
-    def levels(self, size: int) -> list[tuple[int, int]]:
-        """(level, ranges) at which a set of this size is keyed; none where only equality links."""
+        As many ranges as leave the smallest sets keyed here enough that are not empty.
+        """
+        if level not in self._ranges:
+            d = self.differ(self.level_from[level + 1] - 1)
+            least = -(-self.percent * self.level_from[level] // 100)
+            best = (d + 2, 1)
+            for n in range(d + 1, 2 * d + 3):
+                empty = n * math.exp(-least / n)
+                if n - d - 1 >= empty + 2 * math.sqrt(empty):
+                    best = (n, n - d - 1)
+                    break
+            self._ranges[level] = best if d else (0, 0)
+        return self._ranges[level]
+
+    def levels(self, size: int) -> list[tuple[int, int, int]]:
+        """(level, ranges, spare) at which a set of this size is keyed; none where only equality links."""
         own = int(np.searchsorted(self.level_from, size, side="right")) - 1
         found = []
         for level in range(own, len(self.level_from) - 1):
             if level > own and 100 * size < self.percent * self.level_from[level]:
                 break
-            if d := self.differ(self.level_from[level + 1] - 1):
-                found.append((level, d + 1 + self.spare(d)))
+            if self.ranges(level)[0]:
+                found.append((level, *self.ranges(level)))
         return found
 
     def linked(self, overlap, a, b):
@@ -134,8 +148,7 @@ def keys_of(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     """The keys of a set: any two linked, unequal sets have one in common."""
     found = []
     salted = {}
-    for level, ranges in rule.levels(len(shingles)):
-        spare = rule.spare(rule.differ(rule.level_from[level + 1] - 1))
+    for level, ranges, spare in rule.levels(len(shingles)):
         for salt in range(SALTS):
             if salt not in salted:
                 own = shingles if salt == 0 else np.sort(mix(shingles + _tag(salt)))
@@ -168,20 +181,37 @@ def _featured(rule: Rule):
             ids, rows = batch.column(0), batch.num_rows
             sizes, classes = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=_U)
             counts = np.zeros((rows, GROUPS), dtype="<i4")
-            keys = []
             for i, own in enumerate(shingle_sets(batch.column(1), rule.width)):
                 sizes[i] = len(own)
                 if len(own):
                     classes[i] = _class_of(own)
                     counts[i] = np.diff(_cuts(own, GROUPS))
-                keys.append(keys_of(own, rule))
-            at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=_U)
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array(sizes), pa.array(_long(classes)),
-                pa.array([c.tobytes() for c in counts], type=pa.binary()),
-                pa.ListArray.from_arrays(pa.array(at), pa.array(_long(flat))),
-            ], names=["id", "size", "class", "counts", "keys"])
+                pa.array([c.tobytes() for c in counts], type=pa.binary())], names=["id", "size", "hash", "counts"])
+
+    return run
+
+
+def _keyed(rule: Rule):
+    """(hash, class, text) -> (class, keys) where the text is one of the class.
+
+    An id may have several texts, of which only one is meant.
+    """
+
+    def run(batches):
+        for batch in batches:
+            wanted, found, kept = batch.column(0).to_numpy(), [], []
+            for i, own in enumerate(shingle_sets(batch.column(2), rule.width)):
+                if len(own) and _class_of(own).view(np.int64) == wanted[i]:
+                    kept.append(i)
+                    found.append(keys_of(own, rule))
+            at = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, dtype=_U)
+            rows = pa.array(kept, type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(rows), pa.ListArray.from_arrays(pa.array(at), pa.array(_long(flat)))],
+                names=["class", "keys"])
 
     return run
 
@@ -331,18 +361,19 @@ def shingle_components(
     ids = F.col(id_col).cast("bigint")
     wide = docs.select(ids.alias("id"), F.col(text_col).cast("string").alias("text"))
     features = save_and_reload(wide.mapInArrow(
-        _featured(rule), "id bigint, size bigint, class bigint, counts binary, keys array<bigint>"), "features")
+        _featured(rule), "id bigint, size bigint, hash bigint, counts binary"), "features")
     named = features.filter("id is not null and size > 0")
-    blocks = save_and_reload(_blocks(named), "blocks")
-    # What the members of blocks need: their point, and one text for each class.
-    classes = blocks.select("class").distinct()
-    classes = save_and_reload(classes, "classes")
-    wanted = small_enough(classes, BROADCAST_ROWS)
-    points = save_and_reload(
-        named.join(wanted, "class").groupBy("class", "size", "counts").agg(F.min("id").alias("id")), "points")
-    chosen = small_enough(points.select("id", "class", "size"), BROADCAST_ROWS)
-    texts = save_and_reload(_class_texts(wide.join(chosen, "id"), rule), "texts")
+    # Equal sets are one class from here on, numbered so that its number packs well in shuffles.
+    points = named.groupBy("hash", "size", "counts").agg(F.min("id").alias("id"))
+    points = save_and_reload(points.withColumn("class", F.monotonically_increasing_id()), "points")
+    chosen = small_enough(points.select("id", "hash", "class"), BROADCAST_ROWS)
+    keyed = save_and_reload(wide.join(chosen, "id").select("hash", "class", "text").mapInArrow(
+        _keyed(rule), "class bigint, keys array<bigint>"), "keyed")
+    blocks = save_and_reload(_blocks(keyed), "blocks")
     members = save_and_reload(blocks.join(points.select("class", "size", "counts"), "class"), "members")
+    # Texts are only needed of classes that share a key with another.
+    wanted = small_enough(points.select("id", "hash", "class").join(members.select("class").distinct(), "class"), BROADCAST_ROWS)
+    texts = save_and_reload(_class_texts(wide.join(wanted, "id"), rule), "texts")
     own = members.withColumn("comp", F.col("class"))
 
     tested = save_and_reload(
@@ -362,40 +393,47 @@ def shingle_components(
         comps = components(tested.filter("linked"))
 
     # From classes to rows: a class's copies share its component.
-    by_class = named.select("class", "id").distinct().join(
-        comps.withColumnRenamed("node", "class"), "class", "left")
-    by_class = by_class.withColumn("root", F.coalesce("component", "class"))
-    least = save_and_reload(by_class.groupBy("root").agg(F.min("id").alias("least")), "least")
-    of_class = by_class.select("class", "root").distinct().join(least, "root")
-    of_class = _joined_by_ids(features, of_class.select("class", "least"))
-    out = features.select("id", "size", F.when(F.col("size") > 0, F.col("class")).alias("class"))
-    out = out.join(of_class, "class", "left")
+    rooted = points.join(comps.withColumnRenamed("node", "class"), "class", "left").select(
+        "hash", "id", F.coalesce("component", "class").alias("root"))
+    rooted = save_and_reload(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
+    of_hash = _joined_by_ids(named, rooted.select("hash", "root").join(least, "root").select("hash", "least"))
+    out = features.select("id", "size", F.when(F.col("size") > 0, F.col("hash")).alias("hash"))
+    out = out.join(of_hash, "hash", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
-def _joined_by_ids(features: DataFrame, of_class: DataFrame) -> DataFrame:
+def _joined_by_ids(named: DataFrame, of_hash: DataFrame) -> DataFrame:
     """Ids with several texts tie the components of these texts together."""
-    named = features.filter("id is not null and size > 0").select("id", "class")
-    several = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b")
+    several = named.groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).filter("a <> b")
     if several.isEmpty():
-        return of_class
-    ties = named.join(several.select("id"), "id").join(of_class, "class").select("id", "least").distinct()
+        return of_hash
+    ties = named.select("id", "hash").join(several.select("id"), "id").join(of_hash, "hash").select("id", "least").distinct()
     pairs = ties.join(ties.groupBy("id").agg(F.min("least").alias("a")), "id").select("a", F.col("least").alias("b"))
     merged = components(pairs).select(F.col("node").alias("least"), "component")
-    return of_class.join(merged, "least", "left").select("class", F.coalesce("component", "least").alias("least"))
+    return of_hash.join(merged, "least", "left").select("hash", F.coalesce("component", "least").alias("least"))
+
 
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """(block, members, class): the classes below each key; keys with equal members are one block.
 
-def _blocks(named: DataFrame) -> DataFrame:
-    """(block, members, class): the classes below each key; keys with equal members are one block."""
-    keyed = named.select(F.explode("keys").alias("key"), "class")
-    shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    shared = save_and_reload(shared.filter("lo <> hi").select("key"), "keys")
-    below = save_and_reload(keyed.join(small_enough(shared, BROADCAST_ROWS), "key").distinct(), "below")
+    A key of two classes is their pair, known from the sums alone; only keys of more
+    are joined with their members.
+    """
+    each = keyed.select(F.explode("keys").alias("key"), "class")
+    shared = each.groupBy("key").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = save_and_reload(shared.filter("lo <> hi"), "shared")
+    pairs = shared.filter("n = 2").select("lo", "hi").distinct()
+    pairs = pairs.select(F.xxhash64("lo", "hi").alias("block"), F.lit(2).cast("bigint").alias("members"),
+                         F.explode(F.array("lo", "hi")).alias("class"))
+    many = small_enough(shared.filter("n > 2").select("key"), BROADCAST_ROWS)
+    below = save_and_reload(each.join(many, "key").distinct(), "below")
     print_ = below.groupBy("key").agg(
         F.bit_xor(F.xxhash64("class")).alias("block"), F.count(F.lit(1)).alias("members"))
-    return below.join(print_, "key").select("block", "members", "class").distinct()
+    return pairs.unionByName(below.join(print_, "key").select("block", "members", "class").distinct())
 
 
 def _class_texts(named_texts: DataFrame, rule: Rule) -> DataFrame:
@@ -403,13 +441,13 @@ def _class_texts(named_texts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = np.array([_class_of(s) if len(s) else _U(0) for s in shingle_sets(batch.column(1), rule.width)],
+            own = np.array([_class_of(s) if len(s) else _U(0) for s in shingle_sets(batch.column(2), rule.width)],
                            dtype=_U)
             ok = _long(own) == batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["class", "text"]).filter(
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["class", "text"]).filter(
                 pa.array(ok))
 
-    checked = named_texts.select("class", "text").mapInArrow(run, "class bigint, text string")
+    checked = named_texts.select("hash", "class", "text").mapInArrow(run, "class bigint, text string")
     return checked.dropDuplicates(["class"])
 
 
