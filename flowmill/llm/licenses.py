@@ -126,13 +126,13 @@ def scan_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "
 
     name = F.element_at("_parts", -1)
     holds = own.filter(F.col("own_licence").isNotNull() & (F.size("_parts") > 0) & F.rlike(name, F.lit(LICENCE_FILE)))
-    folder = F.array_join(F.slice("_parts", 1, F.size("_parts") - 1), "/")
+    folder = F.array_join(F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), "/")
     licensed = holds.groupBy(folder.alias("directory")).agg(
         F.min(F.struct((-F.col("cosine")).alias("less"), F.col("own_licence").alias("licence"))).alias("best"))
     licensed = licensed.select("directory", F.col("best.licence").alias("above"))
     # Ancestors of the distinct directories, not of files: the nearest licensed one for each.
     without = own.filter(F.col("path").isNotNull()).select(folder.alias("folder"), F.slice(
-        "_parts", 1, F.size("_parts") - 1).alias("steps")).distinct()
+        "_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("steps")).distinct()
     ancestors = without.select("folder", F.explode(F.sequence(F.lit(0), F.size("steps"))).alias("depth"), "steps").select(
         "folder", "depth", F.array_join(F.expr("slice(steps, 1, depth)"), "/").alias("directory"))
     nearest = ancestors.join(small_enough(licensed, BROADCAST_ROWS), "directory").groupBy("folder").agg(
