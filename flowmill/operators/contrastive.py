@@ -30,11 +30,13 @@ def normalize(vector: Column) -> Column:
 def batch_similarity(df: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """Per sample: its similarities to every member of its batch, both ways.
 
-    Needs batch_id, id, raw and size (unit vectors). Adds ``ids`` (members in
+    Needs batch_id, id, raw and size (unit vectors); with a ``shard`` column, batches are
+    those of a shard. Adds ``ids`` (members in
     order), ``place`` (the sample's own index, from 1), ``raw_to_size`` and
     ``size_to_raw``. One shuffle, on the batch.
     """
-    pool = df.groupBy("batch_id").agg(
+    batch = [c for c in ("shard", "batch_id") if c in df.columns]
+    pool = df.groupBy(*batch).agg(
         F.sort_array(F.collect_list(F.struct("id", "raw", "size"))).alias("pool")
     )
 
@@ -47,8 +49,8 @@ def batch_similarity(df: DataFrame, temperature: float = TEMPERATURE) -> DataFra
 
     rows = let(F.col("pool"), lambda m: F.transform(m, lambda me, i: row(m, me, i)))
     return pool.select(
-        "batch_id", F.transform("pool", lambda m: m["id"]).alias("ids"), F.explode_outer(rows).alias("r")
-    ).select("batch_id", "ids", "r.*")
+        *batch, F.transform("pool", lambda m: m["id"]).alias("ids"), F.explode_outer(rows).alias("r")
+    ).select(*batch, "ids", "r.*")
 
 
 def infonce_loss(similarities: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def infonce_loss(similarities: DataFrame) -> DataFrame:
     def side(name):
         return log_sum_exp(F.col(name)) - F.element_at(name, F.col("place"))
 
-    return similarities.groupBy("batch_id").agg(
+    batch = [c for c in ("shard", "batch_id") if c in similarities.columns]
+    return similarities.groupBy(*batch).agg(
         ((F.avg(side("raw_to_size")) + F.avg(side("size_to_raw"))) / 2).alias("loss")
     )
 

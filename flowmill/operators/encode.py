@@ -17,13 +17,15 @@ MAX_RAW_PACKETS, NO_PACKET, NO_DIRECTION = 8, 8, 1
 
 
 def byte_ids(tokens: Column) -> Column:
-    """Two-digit hex tokens -> ids; the byte vocabulary is 5 + byte value."""
-    return F.transform(tokens, lambda t: (F.conv(t, 16, 10).cast("int") + RESERVED).cast("int"))
+    """Two-digit hex tokens -> ids; the byte vocabulary is 5 + byte value, others are [UNK]."""
+    return F.transform(tokens, lambda t: F.when(
+        F.rlike(t, F.lit("^[0-9a-f]{2}$")), F.conv(t, 16, 10).cast("int") + RESERVED).otherwise(UNK).cast("int"))
 
 
 def shifted_ids(tokens: Column, vocab_size: int) -> Column:
-    """Size and IAT tokens -> ids: 5 + token, kept inside the vocabulary."""
-    return F.transform(tokens, lambda t: clamp_id((t + RESERVED).cast("int"), vocab_size).cast("int"))
+    """Size and IAT tokens -> ids: 5 + token, kept inside the vocabulary; null is [UNK]."""
+    return F.transform(tokens, lambda t: F.when(t.isNull(), UNK).otherwise(
+        clamp_id((t + RESERVED).cast("int"), vocab_size)).cast("int"))
 
 
 def _flat(packets: Column, each) -> Column:

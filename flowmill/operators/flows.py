@@ -47,9 +47,11 @@ def _chunk_summaries(keyed: DataFrame) -> DataFrame:
     All aggregates are fixed-width, so both steps stay hash aggregates.
     """
     paid = F.col("len") > 0
+    declared = F.col("declared_len" if "declared_len" in keyed.columns else "len") > 0
     parts = keyed.groupBy("flow_key", "chunk").agg(
         F.count(F.lit(1)).alias("_packets"),
         F.count(F.when(paid, 1)).alias("_paid"),
+        F.count(F.when(declared, 1)).alias("_declared"),
         F.min_by("forward", "seq").alias("_first"),
         F.max_by(F.when(paid, F.col("t")), F.when(paid, F.col("seq"))).alias("_last_t"),
     )
@@ -59,7 +61,7 @@ def _chunk_summaries(keyed: DataFrame) -> DataFrame:
     return parts.select(
         "flow_key", "chunk",
         F.sum("_packets").over(flow).alias("n_packets"),
-        F.sum("_paid").over(flow).alias("n_payload"),
+        F.sum("_declared").over(flow).alias("n_payload"),
         F.coalesce(F.sum("_paid").over(before), F.lit(0)).alias("_offset"),
         F.last("_last_t", ignorenulls=True).over(before).alias("_prev_t"),
         F.first("_first").over(
@@ -71,13 +73,15 @@ def _chunk_summaries(keyed: DataFrame) -> DataFrame:
 def flow_table(packets: DataFrame) -> DataFrame:
     """One row per flow: name, initiator, packet and payload-packet counts.
 
-    A plain two-step hash aggregate; a hot flow is combined map-side.
+    A plain two-step hash aggregate; a hot flow is combined map-side. Payload packets are
+    counted by the length the headers declare, where there is one: a snapped capture keeps its flows.
     """
     keyed = with_flow_key(packets)
+    size = F.col("declared_len" if "declared_len" in packets.columns else "len")
     extra = [c for c in ("capture", "label", "proto") if c in packets.columns]
     grouped = keyed.groupBy("flow_key", *extra, *ENDS).agg(
         F.count(F.lit(1)).alias("n_packets"),
-        F.count(F.when(F.col("len") > 0, 1)).alias("n_payload"),
+        F.count(F.when(size > 0, 1)).alias("n_payload"),
         F.min_by("forward", "seq").alias("_forward"),
     )
 

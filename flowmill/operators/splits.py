@@ -116,7 +116,7 @@ def external_test(scanned: DataFrame, processed: DataFrame, labels: DataFrame) -
     check_label_map(labels)
     if scanned.isEmpty():
         raise ValueError("the external test set has no captures")
-    unknown = label_difference(scanned, labels).limit(20).collect()
+    unknown = label_difference(scanned, labels).collect()  # labels, not samples
     if unknown:
         raise ValueError(f"labels absent from the map: {sorted(r.label_name for r in unknown)}")
     if processed.isEmpty():

@@ -232,24 +232,24 @@ def token_to_id(
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """Per ``key`` the tokens of its ids, in order."""
+    """Per ``key`` the tokens of its ids, in order; none for no ids, null for an id the vocabulary lacks."""
     rows = df.select(key, F.posexplode_outer(ids).alias("_pos", "id"))
-    found = rows.join(vocab.select("id", "token"), "id")
-    pairs = F.sort_array(F.collect_list(F.struct("_pos", "token")))
+    found = rows.join(vocab.select("id", "token"), "id", "left")
+    pairs = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "token"))))
     return found.groupBy(key).agg(F.transform(pairs, lambda p: p["token"]).alias("tokens"))
 
 
 def token_counts(docs: DataFrame, ident: str, tokens: str = "tokens") -> DataFrame:
     """(token, n, first): occurrences and first place, both combined map-side.
 
-    ``first`` packs (ident, position): ident below 2^39, fewer than 2^24 tokens a row.
+    ``first`` is a struct (ident, pos), so ids of any size or type keep their order.
     """
     # The outer form: from the inner one Spark infers a filter on the array's size,
     # which would run the tokenizer a second time.
     rows = docs.select(ident, F.posexplode_outer(tokens).alias("_pos", "token")).filter(
         F.col("token").isNotNull()
     )
-    place = F.shiftleft(F.col(ident), 24) + F.col("_pos")
+    place = F.struct(F.col(ident).alias("ident"), F.col("_pos").alias("pos"))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
 
 
@@ -263,7 +263,7 @@ def corpus_token_counts(docs: DataFrame, ident: str, text: str = "text") -> Data
     places = docs.select(ident, F.posexplode_outer(words(F.col(text))).alias("_pos", "word")).filter(
         F.col("word").isNotNull()
     )
-    place = F.shiftleft(F.col(ident), 24) + F.col("_pos")
+    place = F.struct(F.col(ident).alias("ident"), F.col("_pos").alias("pos"))
     distinct = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     split = per_distinct_word(lambda: _basic, T.StringType())(F.array("word"))
     tokens = (
@@ -285,13 +285,19 @@ def union_counts(*parts: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
+def _ident_bucket(df: DataFrame, ident: str) -> Column:
+    """A coarser value in the same order: numbers by 4096, texts by their beginning."""
+    kind = df.select(F.col(ident).alias("i")).schema["i"].dataType
+    return F.shiftright(F.col(ident), 12) if isinstance(kind, T.IntegralType) else F.substring(F.col(ident).cast("string"), 1, 4)
+
+
 def word_count_vocab(counts: DataFrame, min_count: int = 1) -> DataFrame:
     """(token, id, n): reserved tokens first with n = -1, then by count and first place."""
     spark = counts.sparkSession
     kept = counts.filter((F.col("n") >= min_count) & ~F.col("token").isin(*RESERVED_TOKENS))
     ranked = with_rank(
         kept, [], [F.desc("n"), *[F.col(c) for c in ("first", "at") if c in kept.columns]],
-        F.struct((-F.col("n")).alias("n"), F.shiftright("first", 36).alias("at")),
+        F.struct((-F.col("n")).alias("n"), _ident_bucket(kept, "first.ident").alias("at")),
     )
     reserved = spark.createDataFrame(
         [(t, i, -1) for i, t in enumerate(RESERVED_TOKENS)], "token string, id bigint, n bigint"

@@ -16,7 +16,7 @@ from flowmill.plans.registry import query
 from flowmill.session import save_and_reload, shared_folder
 from flowmill.sources import tables
 
-MIN, CAP = sp.MIN_PER_CLASS, 150
+MIN, CAP = sp.MIN_PER_CLASS, 500
 
 define("scanned", "select flow_key, label as label_name, capture, n_payload from flow_list", "flow_list")
 define("samples", "select * from scanned where n_payload >= 5", "scanned")

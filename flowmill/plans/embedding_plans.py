@@ -14,10 +14,10 @@ from flowmill.plans.registry import query
 from flowmill.session import shared_folder
 from flowmill.sources import tables
 
-# Scores of ten classes: the first ten dimensions of a vector.
+# Scores of 64 classes: the dimensions of a vector.
 define("logit_rows", """
   select vec_id sample_id, cast(label as int) y_true,
-         list_transform(embedding[1:10], lambda x: cast(x as double) * 20e0) logits
+         list_transform(embedding, lambda x: cast(x as double) * 20e0) logits
   from embeddings
 """)
 define("predictions", """
@@ -38,7 +38,7 @@ define("class_sums", """
 def predictions(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.col("label").cast("int").alias("y_true"),
-        F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 20.0).alias("logits"),
+        F.transform("embedding", lambda x: x.cast("double") * 20.0).alias("logits"),
     )
     return ev.predict_argmax(rows)
 

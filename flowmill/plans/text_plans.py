@@ -105,8 +105,9 @@ def word_count_vocab(spark, sf_dir):
 @query("vocab_union", "select token, n, first from token_n", "token_n")
 def vocab_union(spark, sf_dir):
     rows = save_and_reload(tokenized(spark, sf_dir), "tokens")
-    halves = [F.col("source") < "src2", F.col("source") >= "src2"]
-    return tx.union_counts(*[tx.token_counts(rows.filter(h), "doc_id") for h in halves])
+    halves = [F.pmod(F.xxhash64("doc_id"), F.lit(2)) == h for h in (0, 1)]
+    both = tx.union_counts(*[tx.token_counts(rows.filter(h), "doc_id") for h in halves])
+    return both.withColumn("first", F.col("first.ident") * (1 << 24) + F.col("first.pos"))
 
 
 def stored_vocab(spark, sf_dir):

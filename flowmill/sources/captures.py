@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.arrays import hex_fixed
+from flowmill.session import save_and_reload
 from flowmill.sources.bytesink import write_files
 from flowmill.sources.files import path_part, resolve
 
@@ -154,44 +155,78 @@ def capture_ranges(listing: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
     A capture has no sync marker. For a file longer than a split, each split
     proposes where its first record starts and where its chain of records ends.
-    Split 0 starts after the file header; if every split starts where the one
-    before it ended, all starts are proven by induction. Where one does not, the
-    file is read as one range.
+    Split 0 starts after the file header; splits that start where the one
+    before them ended are proven by induction. In a file where one does not, records are
+    followed from the last proven boundary to the next start they meet, and that stretch
+    is a range of its own.
     """
     short = listing.filter(F.col("length") <= split_bytes).select(
         "path", "label", "stem", F.lit(FILE_HEADER).cast("bigint").alias("start"),
         F.col("length").alias("end"),
     )
     parts = F.ceil(F.col("length") / split_bytes).cast("int")
-    long = (
+    splits = save_and_reload(
         listing.filter(F.col("length") > split_bytes)
         .select("path", "label", "stem", "length", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         .select(
             "path", "label", "stem", "part",
             (F.col("part").cast("bigint") * split_bytes).alias("low"),
             F.least("length", (F.col("part") + 1).cast("bigint") * split_bytes).alias("stop"),
-        )
-        .repartition("path", "part")
-        .mapInArrow(
-            _propose,
-            "path string, label string, stem string, part int, low bigint, stop bigint,"
-            " start bigint, end bigint",
-        )
+        ),
+        "splits",
     )
+    # A given number of partitions: rows are a few bytes that stand for a whole split each.
+    proposed = splits.repartition(max(1, splits.count())).mapInArrow(
+        _propose,
+        "path string, label string, stem string, part int, low bigint, stop bigint,"
+        " start bigint, end bigint",
+    )
+    long = save_and_reload(proposed, "proposals")
     ordered = Window.partitionBy("path").orderBy("part")
     wrong = (F.col("start") < 0) | (
         F.coalesce(F.lag("end").over(ordered), F.lit(FILE_HEADER)) != F.col("start")
     )
-    checked = long.withColumn("_wrong", wrong).withColumns({
-        "_any": F.max("_wrong").over(Window.partitionBy("path")),
-        "_length": F.max("stop").over(Window.partitionBy("path")),
-    })
+    checked = long.withColumn("_wrong", wrong).withColumn(
+        "_any", F.max("_wrong").over(Window.partitionBy("path")))
     proven = checked.filter(~F.col("_any")).select("path", "label", "stem", "start", "end")
-    whole = checked.filter(F.col("_any") & (F.col("part") == 0)).select(
-        "path", "label", "stem", F.lit(FILE_HEADER).cast("bigint").alias("start"),
-        F.col("_length").alias("end"),
-    )
-    return short.unionByName(proven).unionByName(whole)
+    # A row for each split of a file, so some thousands for a file of a terabyte.
+    broken = checked.filter("_any").groupBy("path", "label", "stem").agg(
+        F.sort_array(F.collect_list(F.struct("part", "start", "end", "stop"))).alias("splits"))
+    walked = broken.mapInArrow(
+        _walk, "path string, label string, stem string, start bigint, end bigint")
+    return short.unionByName(proven).unionByName(walked)
+
+
+def _walk(batches):
+    """Ranges of files with a split that does not follow: only what is not proven is walked.
+
+    From a proven record boundary the records are followed until one ends where a
+    split proposes to start; from there on that split's own chain holds.
+    """
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            capture, splits = _Capture(row["path"]), row["splits"]
+            ends = {s["start"]: s["end"] for s in splits if s["start"] >= 0}
+            pos, length = FILE_HEADER, splits[-1]["stop"]
+            while pos < length:
+                start = pos
+                if capture.order and ends.get(pos, -1) > pos:
+                    pos = ends[pos]
+                elif capture.order:
+                    for at, _, _, _, frame in capture.chain(pos, length):
+                        pos = at + RECORD_HEADER + len(frame)
+                        if ends.get(pos, -1) > pos:
+                            break
+                    else:
+                        pos = length
+                else:
+                    pos = length
+                found.append((row["path"], row["label"], row["stem"], start, pos))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[i] for f in found], type=k) for i, k in enumerate(kinds)],
+            names=["path", "label", "stem", "start", "end"])
 
 
 PACKET_SCHEMA = (
@@ -206,17 +241,26 @@ _PACKET_ARROW = _arrow(
 def _pcapng(capture):
     """(position, ticks since epoch, ticks per second, linktype, orig, frame) of packet blocks."""
     order, links, pos = "<", [], 0
+    window, begin = b"", 0
+
+    def read(n, at):
+        """From a window read ahead, so that a block is no remote read of its own."""
+        nonlocal window, begin
+        if at < begin or at + n > begin + len(window):
+            window, begin = capture.file.read_at(min(max(n, 1 << 20), capture.size - at), at), at
+        return window[at - begin : at - begin + n]
+
     while pos + 12 <= capture.size:
-        kind = capture.file.read_at(4, pos)
+        kind = read(4, pos)
         if kind == PCAPNG_MAGIC:
-            order = "<" if capture.file.read_at(4, pos + 8) == b"\x4d\x3c\x2b\x1a" else ">"
+            order = "<" if read(4, pos + 8) == b"\x4d\x3c\x2b\x1a" else ">"
             links = []
-        size = struct.unpack(order + "I", capture.file.read_at(4, pos + 4))[0]
+        size = struct.unpack(order + "I", read(4, pos + 4))[0]
         if size < 12 or pos + size > capture.size:
             return
         block = struct.unpack(order + "I", kind)[0]
         if block in (1, 3, 6):
-            body = capture.file.read_at(size - 12, pos + 8)
+            body = read(size - 12, pos + 8)
             if block == 1:
                 links.append((*struct.unpack_from(order + "HxxI", body), _ticks(order, body)))
             elif block == 6:
@@ -260,7 +304,7 @@ def _read(batches):
             else:
                 continue
             columns, held = [[] for _ in range(6)], 0
-            for pos, clock, ticks, link, orig, frame in records:
+            for pos, clock, ticks, link, orig, frame in _until_damaged(records):
                 values = (pos, clock * 10**6 // ticks, clock / ticks, link, orig, frame)
                 for column, value in zip(columns, values):
                     column.append(value)
@@ -272,6 +316,14 @@ def _read(batches):
                 yield _packet_batch(row, columns)
 
 
+def _until_damaged(records):
+    """Records up to the first that cannot be read; a damaged file does not fail the job."""
+    try:
+        yield from records
+    except (struct.error, IndexError, ValueError, OverflowError):
+        return
+
+
 def _packet_batch(row, columns):
     n = len(columns[0])
     same = [[row["path"]] * n, [row["label"]] * n, [row["stem"]] * n]
@@ -286,8 +338,12 @@ def read_captures(spark: SparkSession, root: str, split_bytes: int = SPLIT_BYTES
     ``seq`` is the record's byte offset: it orders a capture's packets and needs
     no counting pass.
     """
-    ranges = capture_ranges(capture_listing(spark, root), split_bytes)
-    return ranges.repartition("path", "start").mapInArrow(_read, PACKET_SCHEMA)
+    ranges = save_and_reload(capture_ranges(capture_listing(spark, root), split_bytes), "ranges")
+    # Rows are a few bytes that stand for up to a split each, so the number of tasks is given: one
+    # for each range, or for many small files as many as their bytes and the cluster ask for.
+    n, size = ranges.agg(F.count(F.lit(1)), F.sum(F.col("end") - F.col("start"))).first()
+    tasks = min(n, max(4 * spark.sparkContext.defaultParallelism, 2 * (size or 0) // split_bytes))
+    return ranges.repartition(max(1, tasks)).mapInArrow(_read, PACKET_SCHEMA)
 
 
 def _record_bytes(ts_us, caplen, origlen, frame):

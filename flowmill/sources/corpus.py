@@ -49,8 +49,12 @@ def size_fragments(chunks: DataFrame) -> DataFrame:
     )
 
 
-def write_size_corpus(chunks: DataFrame, path: str, files: int = 64) -> None:
-    """Write the size corpus as ``files`` text files, each flow whole in one of them."""
+def write_size_corpus(chunks: DataFrame, path: str, files: int | None = None) -> None:
+    """Write the size corpus as ``files`` text files, each flow whole in one of them.
+
+    By default as many as the session has shuffle partitions, at least 64.
+    """
+    files = files or max(64, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = size_fragments(chunks)
     name = F.concat(F.lit("part-"), F.lpad(F.pmod(F.xxhash64("flow_key"), F.lit(files)).cast("string"), 5, "0"), F.lit(".txt"))
     write_files(
@@ -59,10 +63,16 @@ def write_size_corpus(chunks: DataFrame, path: str, files: int = 64) -> None:
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per flow: its lines, trimmed, without the ``||`` line."""
-    text = spark.read.option("lineSep", SEPARATOR + "\n").text(path)
-    lines = F.transform(F.split("value", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")))
-    return text.filter(F.col("value") != "").select(lines.alias("lines"))
+    """One row per flow: its lines, trimmed, without the ``||`` line.
+
+    The separator's line may be padded or end in CRLF: records are split at the two
+    bars, and what is left of their line in front of the next record is dropped.
+    """
+    blank = " \t\r\f\x0b"
+    text = spark.read.option("lineSep", SEPARATOR).text(path)
+    text = text.select(F.regexp_replace("value", f"^[{blank}]*\n", "").alias("value"))
+    lines = F.transform(F.split("value", "\n"), lambda x: F.btrim(x, F.lit(blank)))
+    return text.filter(F.btrim("value", F.lit(blank + "\n")) != "").select(lines.alias("lines"))
 
 
 def _protocol(strict: bool):
@@ -98,12 +108,15 @@ def read_raw_corpus(spark: SparkSession, path: str, strict: bool = False) -> Dat
 
 
 def read_size_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Parse the size corpus: protocol code, size tokens, IAT tokens; both are needed."""
+    """Parse the size corpus: protocol code, size tokens, IAT tokens; both are needed.
+
+    A token that is no number is null, which encodes as [UNK].
+    """
     rows = _records(spark, path)
     body = F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x != "")
 
     def numbers(line):
-        return F.transform(F.split(line, r"\s+"), lambda x: x.cast("int"))
+        return F.transform(F.split(line, r"\s+"), lambda x: x.try_cast("int"))
 
     return (
         rows.select(_protocol(False).alias("protocol"), body.alias("body"))

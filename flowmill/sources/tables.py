@@ -52,9 +52,9 @@ ERROR_COLUMNS = (
 
 
 def write_errors_csv(errors: DataFrame, path: str) -> bool:
-    """Misclassified samples as CSV with a header; nothing when there are none."""
+    """Misclassified samples as CSV with a header, most confident first; nothing when there are none."""
     if errors.isEmpty():
         return False
-    out = errors.withColumn("confidence", F.format_string("%.6f", F.col("confidence")))
+    out = errors.orderBy(F.desc("confidence"), "sample_index").withColumn("confidence", F.format_string("%.6f", F.col("confidence")))
     out.select(*ERROR_COLUMNS).write.option("header", True).csv(path)
     return True

@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from flowmill.operators import flows as fl
 from flowmill.operators import packets as pkt
 from flowmill.sources import captures as cap
@@ -133,16 +134,37 @@ def test_splits_read_every_record_once(spark, tmp_path, split):
     assert [bytes(r.frame) for r in rows] == [f for _, _, f in records]
 
 
-def test_unprovable_split_falls_back_to_one_range(spark, tmp_path):
+@pytest.mark.parametrize("tempting", [True, False])
+def test_one_odd_record_does_not_join_all_splits(spark, tmp_path, tempting):
     # Captured length above the original one breaks the chain test of a split.
-    records = [(s, f, frame, 10) if i == 250 else (s, f, frame) for i, (s, f, frame) in enumerate(many())]
+    plain = many(tempting=tempting)
+    records = [(s, f, frame, 10) if i == 250 else (s, f, frame) for i, (s, f, frame) in enumerate(plain)]
     (tmp_path / "x.pcap").write_bytes(pcap(records))
     listing = cap.capture_listing(spark, str(tmp_path))
-    assert cap.capture_ranges(listing, 4096).count() == 1
+    ranges = sorted(map(tuple, cap.capture_ranges(listing, 4096).select("start", "end").collect()))
+    assert len(ranges) > 5 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
     rows = sorted(cap.read_captures(spark, str(tmp_path), 4096).collect(), key=lambda r: r.seq)
     assert [bytes(r.frame) for r in rows] == [f for _, _, f, *_ in records]
 
 
+def test_many_files_are_read_by_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.pcap").write_bytes(pcap(many(3)))
+    rows = cap.read_captures(spark, str(tmp_path)).select("capture", F.spark_partition_id().alias("p"))
+    assert rows.count() == 120 and rows.select("p").distinct().count() >= 20
+
+
+def test_damaged_files_do_not_fail_the_others(spark, tmp_path):
+    (tmp_path / "good.pcap").write_bytes(pcap(many(9)))
+    block = lambda kind, body: struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    head = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    (tmp_path / "face.pcapng").write_bytes(head + block(6, struct.pack("<IIIII", 3, 0, 0, 0, 0)))
+    (tmp_path / "cut.pcapng").write_bytes(head + block(6, b"\0\0"))
+    (tmp_path / "cut.pcap").write_bytes(pcap(many(2))[:30])
+    got = cap.read_captures(spark, str(tmp_path)).groupBy("stem").count().collect()
+    assert [tuple(r) for r in got] == [("good", 9)]
+
+
 def test_proven_splits_are_many(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(pcap(many(tempting=False)))
     assert cap.capture_ranges(cap.capture_listing(spark, str(tmp_path)), 4096).count() > 5

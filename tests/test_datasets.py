@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.rng import uniform
 from flowmill.operators import contrastive as co
+from flowmill.operators import encode as en
 from flowmill.operators import evaluate as ev
 from flowmill.operators import pairing
 from flowmill.operators import splits as sp
@@ -203,8 +204,9 @@ def test_wordpiece(spark):
     encoded = tx.encode_documents(df, lookup)
     ids = {r.k: list(r.ids) for r in encoded.collect()}
     assert ids == {0: [2, 3, 4, 8, 6, 7, 1, 1], 1: []}
-    back = tx.decode_ids(encoded, vocab, "k").collect()
-    assert [list(r.tokens) for r in back] == ["un ##aff ##able , runn ##ing [UNK] [UNK]".split()]
+    more = encoded.select("k", "ids").union(spark.createDataFrame([(2, [3, 99])], "k int, ids array<int>"))
+    back = {r.k: r.tokens for r in tx.decode_ids(more, vocab, "k").collect()}
+    assert back == {0: "un ##aff ##able , runn ##ing [UNK] [UNK]".split(), 1: [], 2: ["##aff", None]}
 
 
 def test_vocabulary_order(spark):
@@ -251,3 +253,52 @@ def test_uniform_draws(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_large_and_text_ids_keep_their_order(spark):
+    for ids, kind in (([1 << 40, 0, 5], "bigint"), (["b", "a", "c"], "string")):
+        docs = spark.createDataFrame([(ids[0], ["x", "y"]), (ids[1], ["y", "z", "x"]), (ids[2], ["w"])], f"i {kind}, tokens array<string>")
+        vocab = tx.word_count_vocab(tx.token_counts(docs, "i"))
+        order = [r.token for r in vocab.orderBy("id").collect() if r.n > 0]
+        assert order == ["y", "x", "z", "w"]
+
+
+def test_all_unknown_labels_are_named(spark):
+    labels = spark.createDataFrame([("a", 0)], "label_name string, label int")
+    rows = spark.createDataFrame([(f"k{i}", f"u{i:02d}") for i in range(25)], "flow_key string, label_name string")
+    with pytest.raises(ValueError, match="u00.*u24"):
+        sp.external_test(rows, rows, labels)
+
+
+def test_corpora_with_crlf_padding_and_odd_tokens(spark, tmp_path):
+    raw = tmp_path / "raw.txt"
+    raw.write_bytes(b"6\r\n1 45 zz 4500\r\n-1 0a\r\n||\r\n17\n1 ff\n  || \n6\n1 00\n||\n")
+    flows = corpus.read_raw_corpus(spark, str(raw))
+    assert corpus.corpus_counts(spark, str(raw)).first().flows == flows.count() == 3
+    ids = [list(r.ids) for r in flows.select(en.raw_ids(F.col("packets")).alias("ids")).collect()]
+    assert ids == [[5 + 0x45, 1, 1, 15], [260], [5]]
+    size = tmp_path / "size.txt"
+    size.write_bytes(b"6\r\n10 x -3\r\n0 5 bad\r\n||\r\n17\n7\n0\n||\n")
+    rows = corpus.read_size_corpus(spark, str(size))
+    assert [(r.protocol, list(r.size_tokens), list(r.iat_tokens)) for r in rows.collect()] == [
+        (0, [10, None, -3], [0, 5, None]), (1, [7], [0])]
+    framed = en.encode_size_iat(rows, 6).collect()
+    assert framed[0].src_size[2] == framed[0].src_iat[3] == 1
+
+
+def test_batches_of_two_shards_stay_apart(spark):
+    rows = [(s, 0, 10 * s + i, [1.0, float(i)], [1.0, 0.0]) for s in (0, 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "shard int, batch_id int, id int, raw array<double>, size array<double>")
+    got = co.batch_similarity(df)
+    assert {(r.shard, tuple(r.ids)) for r in got.collect()} == {(0, (0, 1, 2)), (1, (10, 11, 12))}
+    assert co.infonce_loss(got).count() == 2
+
+
+def test_errors_are_written_most_confident_first(spark, tmp_path):
+    rows = [(i, 0, "a", 1, "b", (i * 37 % 50) / 50) for i in range(50)]
+    names = "sample_index int, true_label_id int, true_label_name string, pred_label_id int, pred_label_name string, confidence double"
+    assert tables.write_errors_csv(spark.createDataFrame(rows, names).repartition(5), str(tmp_path / "e"))
+    found = []
+    for f in sorted((tmp_path / "e").glob("part-*.csv")):
+        found += [float(x.split(",")[-1]) for x in f.read_text().splitlines()[1:]]
+    assert found == sorted(found, reverse=True) and len(found) == 50

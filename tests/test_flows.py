@@ -141,3 +141,13 @@ def test_ranks_with_null_and_without_groups(spark):
     assert {(r.k, r.x, r.rank) for r in grouped.collect()} == {(None, 1, 0), (None, 2, 1), ("a", 3, 0)}
     overall = with_rank(df, [], [F.col("x")], F.floor(F.col("x") / 2))
     assert {(r.x, r.rank) for r in overall.collect()} == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_snapped_captures_keep_their_flows(spark):
+    rows = [("c", i, float(i), 6, "10.0.0.1", 1, "10.0.0.2", 2, 0, 100 if i else 0) for i in range(6)]
+    df = spark.createDataFrame(
+        rows, "capture string, seq long, t double, proto int, src_ip string, src_port int, dst_ip string, dst_port int, len int, declared_len int")
+    kept = fl.assemble_flows(df)
+    assert kept.count() == 6 and kept.select("n_payload").distinct().first()[0] == 5
+    assert fl.flow_table(df).first().n_payload == 5
+    assert fl.assemble_flows(df.drop("declared_len")).count() == 0
