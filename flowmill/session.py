@@ -22,7 +22,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
-        base = _local_base.setdefault(app, tempfile.mkdtemp(prefix="flowmill-"))
+        if app not in _local_base:
+            _local_base[app] = tempfile.mkdtemp(prefix="flowmill-")
+        base = _local_base[app]
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
