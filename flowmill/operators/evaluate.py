@@ -30,15 +30,14 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
 
 def _class_sums(confusion: DataFrame) -> DataFrame:
     """Per class: tp, predicted and actual counts, over classes of either side."""
-    as_truth = confusion.select(
-        F.col("y_true").alias("label"), F.col("n").alias("actual"), F.lit(0).alias("predicted"),
-        F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
-    )
-    as_prediction = confusion.select(
-        F.col("y_pred").alias("label"), F.lit(0).alias("actual"), F.col("n").alias("predicted"),
-        F.lit(0).alias("tp"),
-    )
-    return as_truth.unionByName(as_prediction).groupBy("label").agg(
+    # Each cell counts for two classes; exploded, so that the predictions are read once.
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
+    nothing = F.lit(0).cast("bigint")
+    sides = confusion.select(F.inline(F.array(
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("actual"), nothing.alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("y_pred").alias("label"), nothing.alias("actual"), F.col("n").alias("predicted"), nothing.alias("tp")),
+    )))
+    return sides.groupBy("label").agg(
         *[F.sum(c).alias(c) for c in ("tp", "predicted", "actual")]
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowmill.functions.arrays import joined
@@ -11,6 +12,7 @@ from flowmill.operators import encode as en
 from flowmill.operators import entropy
 from flowmill.operators import evaluate as ev
 from flowmill.operators import masking as ma
+from flowmill.operators import model
 from flowmill.plans.flow_plans import sequences
 from flowmill.plans.oracle import define
 from flowmill.plans.registry import query
@@ -86,6 +88,27 @@ def paired_instance(spark, sf_dir):
     return encoded(spark, sf_dir).select("flow_key", *[joined(F.col(c)).alias(c) for c in PAIRED])
 
 
+def _shares_sql(column: str, bins: int, per_bin: int) -> str:
+    """SQL of the share of tokens in each of ``bins`` ranges of ids from 5 on, to 9 digits."""
+    kept = f"list_filter({column}, lambda x: x >= 5)"
+    return (
+        f"list_transform(range(0, {bins}), lambda b: round(len(list_filter({kept},"
+        f" lambda x: x >= 5 + b * {per_bin} and x < 5 + (b + 1) * {per_bin})) / greatest(len({kept}), 1)::double, 9))"
+    )
+
+
+@query("baseline_features", f"""
+  select flow_key, array_to_string({_shares_sql("src", 16, 16)} || {_shares_sql("src_size", 30, 101)}
+                                   || {_shares_sql("src_iat", 20, 50)}, ' ') as features
+  from raw_seq join size_seq using (flow_key)
+""", "raw_seq", "size_seq")
+def baseline_features(spark, sf_dir):
+    """The histograms that the baseline classifier is fitted on."""
+    rows = model.features(encoded(spark, sf_dir)).select("flow_key", vector_to_array("features").alias("v"))
+    shares = F.transform("v", lambda x: F.round(x, 9))
+    return rows.select("flow_key", F.array_join(shares.cast("array<string>"), " ").alias("features"))
+
+
 @query("write_instances", f"select flow_key, {PAIRED_SQL} from raw_seq join size_seq using (flow_key)",
        "raw_seq", "size_seq")
 def write_instances(spark, sf_dir):
