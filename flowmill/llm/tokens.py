@@ -13,8 +13,8 @@ import pandas as pd
 
 from flowmill.llm.words import Slice
 
-MAX_WORDS = 600_000  # kept between slices
-MAX_IDS = 6_000_000
+MAX_WORDS = 300_000  # kept between slices
+MAX_IDS = 3_000_000
 
 
 class WordIds:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
