@@ -3,13 +3,14 @@
 Base rules count words, symbols, repeated lines and repeated word windows. The method's
 own rule measures how a public vocabulary takes a text's words apart: characters per token,
 the share of byte-fallback tokens and the entropy of the tokens relative to the largest one
-their number allows. Each measure has a rejection band per language: fences around the
-quartiles of all documents of the language that pass the base rules, ``spread`` times the
-quartile distance away, so the bulk of a language is never rejected whatever the vocabulary
-makes of it. Languages with few documents use the fences of all.
+their number allows. Each measure has a rejection band per language and class of token counts
+(the measures scatter less in a long text): fences around the quartiles of all its documents
+that pass the base rules, ``spread`` times the quartile distance away, so the bulk of a language
+is never rejected whatever the vocabulary makes of it. A class of few documents leans on the same
+class in all languages. Languages with few documents use the fences of all.
 
 Quartiles are read off exact histograms of rounded measures, which tasks count before
-anything is shuffled; a language is a few thousand bins however many documents it has.
+anything is shuffled; a class of a language is a few thousand bins however many documents it has.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is a
 language; texts of one token have entropy share 1; repeated rows are measured alike. Other
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from flowmill.llm.graph import small_enough
 from flowmill.llm.tokens import WordIds, joined_ids
 from flowmill.llm.words import Slice, mix, slices
+from flowmill.session import save_and_reload
 
 _U = np.uint64
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("chars_per_token", "byte_share", "entropy_share")
 STEPS = 1000  # histogram bins for a unit of a measure
-LANGUAGES = 10_000  # most languages whose fences are broadcast
+LANGUAGES = 50_000  # most classes of languages whose fences are broadcast
 _SCHEMA = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
     " n_tokens bigint, n_byte_tokens bigint, entropy double"
@@ -151,53 +153,76 @@ def _measures(counts: DataFrame) -> DataFrame:
         "entropy_share": F.when(most > 0, F.col("entropy") / most).otherwise(1.0)})
 
 
+def _quartiles(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, q1, q2, q3, docs) of bins counted by (keys, measure, bin)."""
+    own = Window.partitionBy(*keys, "measure")
+    counted = counted.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("docs", F.sum("n").over(own))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("docs"), F.col("bin")))
+    return counted.groupBy(*keys, "measure").agg(
+        at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("docs").alias("docs"))
+
+
+def _class() -> Column:
+    """Doublings of the token count, from 16 to 16,384: in a short text the measures scatter more."""
+    return F.least(F.greatest(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))), F.lit(4)), F.lit(14)).cast("int")
+
+
+def _lang_key(lang_col: str) -> Column:
+    return F.concat(F.lit("="), F.coalesce(F.col(lang_col).cast("string"), F.lit("-null")))
+
+
 def fences(counts: DataFrame, lang_col: str, *, spread: float, least_docs: int) -> DataFrame:
-    """(_lang, low and high of each measure) and one row of _lang '*' for all languages."""
+    """(_lang, _class, low and high of each measure) for the languages and token-count classes of good documents."""
     good = _measures(counts).filter(~base_failed())
-    lang = F.concat(F.lit("="), F.coalesce(F.col(lang_col).cast("string"), F.lit("-null")))
     bins = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * STEPS).cast("bigint").alias("bin"))
                                for m in MEASURES]))
-    counted = good.select(lang.alias("_lang"), bins.alias("b")).groupBy("_lang", "b.measure", "b.bin").agg(
-        F.count(F.lit(1)).alias("n"))
-    every = counted.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    counted = counted.unionByName(every.withColumn("_lang", F.lit("*")))
-    own = Window.partitionBy("_lang", "measure")
-    counted = counted.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("docs", F.sum("n").over(own))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("docs"), F.col("bin"))) / F.lit(float(STEPS))
-    quartiles = counted.groupBy("_lang", "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("docs").alias("docs"))
-    wide = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_DISTANCE))
-    quartiles = quartiles.filter((F.col("docs") >= least_docs) | (F.col("_lang") == "*"))
-    quartiles = quartiles.select("_lang", "measure", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
-    return quartiles.groupBy("_lang").agg(*[
-        F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")])
+    counted = good.select(_lang_key(lang_col).alias("_lang"), _class().alias("_class"), bins.alias("b")).groupBy(
+        "_lang", "_class", "b.measure", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    counted = save_and_reload(counted, "histogram")
+    # Bins become distances from the language's median, so that classes of all languages can be laid together.
+    every = F.broadcast(_quartiles(counted).select("measure", F.col("q2").alias("every")))
+    centres = _quartiles(counted, "_lang").join(every, "measure").select(
+        "_lang", "measure", F.col("docs").alias("lang_docs"),
+        F.when(F.col("docs") >= least_docs, F.col("q2")).otherwise(F.col("every")).alias("centre"))
+    away = counted.join(centres, ["_lang", "measure"]).withColumn("bin", F.col("bin") - F.col("centre"))
+    away = save_and_reload(away, "histogram")
+    # A class of few documents leans on the class in all languages, and that on all classes (1, 3) by the root of the tokens.
+    middle = away.groupBy("measure").agg((F.sum(F.col("_class") * F.col("n")) / F.sum("n")).alias("middle"))
+    whole = _quartiles(away).join(middle, "measure").select(
+        "measure", F.col("q1").alias("w1"), F.col("q3").alias("w3"), "middle")
+    wider = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("middle") - F.col("_class")) / 2))
+    lean = lambda own, other, docs: (F.col(docs) * F.col(own) + F.lit(PRIOR_DOCS) * other) / (F.col(docs) + F.lit(PRIOR_DOCS))
+    pool = _quartiles(away, "_class").join(F.broadcast(whole), "measure").select(
+        "_class", "measure", *[lean(f"q{i}", F.col(f"w{i}") * wider, "docs").alias(f"p{i}") for i in (1, 3)])
+    cells = _quartiles(away, "_lang", "_class").join(F.broadcast(pool), ["_class", "measure"]).join(centres, ["_lang", "measure"])
+    cells = cells.withColumns({f"q{i}": F.when(F.col("lang_docs") >= least_docs, lean(f"q{i}", F.col(f"p{i}"), "docs")).otherwise(
+        F.col(f"p{i}")) for i in (1, 3)})
+    wide = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_DISTANCE * STEPS))
+    side = {"low": F.col("centre") + F.col("q1") - wide, "high": F.col("centre") + F.col("q3") + wide}
+    return cells.groupBy("_lang", "_class").agg(*[
+        F.max(F.when(F.col("measure") == m, at / F.lit(float(STEPS)))).alias(f"{m}_{name}")
+        for m in MEASURES for name, at in side.items()])
 
 
 LEAST_DISTANCE = 0.02  # of quartiles, so that a language of equal documents has a band
-#: Fences are wider by this over the root of the tokens: in a short text the measures scatter.
-SCATTER = {"chars_per_token": 3.0, "byte_share": 0.3, "entropy_share": 0.3}
+PRIOR_DOCS = 20  # documents of a class that weigh as much as the class in all languages
 
 
-def judged(counts: DataFrame, *, lang_col: str = "lang", spread: float = 4.0, least_docs: int = 200) -> DataFrame:
+def judged(counts: DataFrame, *, lang_col: str = "lang", spread: float = 2.0, least_docs: int = 200) -> DataFrame:
     """``counts`` (read twice: store it) with measures, base_failed and kept.
 
     Too few characters for a token, too many byte tokens, too little entropy, and their
     opposites where they are out of the band reject a document; a higher entropy does not.
     """
-    bands = fences(counts, lang_col, spread=spread, least_docs=least_docs)
-    own = small_enough(bands.filter("_lang <> '*'"), LANGUAGES)
-    every = bands.filter("_lang = '*'").select(*[F.col(c).alias(f"all_{c}") for c in bands.columns if c != "_lang"])
-    rows = _measures(counts).withColumn(
-        "_lang", F.concat(F.lit("="), F.coalesce(F.col(lang_col).cast("string"), F.lit("-null"))))
-    # One row at most, joined on a constant.
-    every = F.broadcast(every.withColumn("_one", F.lit(1)))
-    rows = rows.join(own, "_lang", "left").withColumn("_one", F.lit(1)).join(every, "_one", "left")
-    bound = lambda m, side: F.coalesce(F.col(f"{m}_{side}"), F.col(f"all_{m}_{side}"))
+    bands = small_enough(fences(counts, lang_col, spread=spread, least_docs=least_docs), LANGUAGES)
+    rows = _measures(counts).withColumns({"_lang": _lang_key(lang_col), "_class": _class()})
+    rows = rows.join(bands, ["_lang", "_class"], "left")
     outside = F.lit(False)
     for m in MEASURES:
-        scatter = SCATTER[m] / F.sqrt(F.greatest("n_tokens", F.lit(1)))
-        outside = outside | F.coalesce(F.col(m) < bound(m, "low") - scatter, F.lit(False))
+        outside = outside | F.coalesce(F.col(m) < F.col(f"{m}_low"), F.lit(False))
         if m != "entropy_share":
-            outside = outside | F.coalesce(F.col(m) > bound(m, "high") + scatter, F.lit(False))
+            outside = outside | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
     failed = base_failed()
     return rows.withColumns({"base_failed": failed, "kept": ~failed & ~outside}).select(
         *counts.columns, *MEASURES, "base_failed", "kept")

@@ -55,3 +55,15 @@ def test_verdicts(spark, documents):
     assert not got[1000].base_failed and not got[1000].kept
     assert all(got[i].base_failed and not got[i].kept for i in (1001, 1002, 1003))
     assert fertility.judged(fertility.measured(documents([]), PATH, keep=["lang"])).count() == 0
+
+
+def test_marked_up_words_are_rejected(spark, documents):
+    rng = random.Random(7)
+    words = "the river stone house light water green walk over under little people".split()
+    text = lambda n, mark: mark.join(rng.choice(words) + str(rng.randrange(900)) for _ in range(n))
+    rows = [(i, text(rng.randrange(40, 1500), " "), "en", "s") for i in range(600)]
+    rows += [(1000 + i, text(rng.randrange(200, 900), " | "), "en", "s") for i in range(40)]
+    got = fertility.judged(fertility.measured(documents(rows), PATH, keep=["doc_id", "lang"])).collect()
+    assert not any(r.base_failed for r in got)
+    assert sum(not r.kept for r in got if r.doc_id >= 1000) >= 36
+    assert sum(not r.kept for r in got if r.doc_id < 1000) <= 6
