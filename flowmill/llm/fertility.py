@@ -6,8 +6,10 @@ the share of byte-fallback tokens and the entropy of the tokens relative to the
 their number allows. Each measure has a rejection band per language and class of token counts
 (the measures scatter less in a long text): fences around the quartiles of all its documents
 that pass the base rules, ``spread`` times the quartile distance away, so the bulk of a language
-is never rejected whatever the vocabulary makes of it. A class of few documents leans on the same
-class in all languages. Languages with few documents use the fences of all.
+is never rejected whatever the vocabulary makes of it. A band is always around the language's own
+median; the quartile distances of a class of few documents lean on those of the same class in all languages,
+each around its own median, in proportion to the documents and only where this does not leave a small language's own quartiles out.
+So no verdict turns at a count, and a clean language is kept however small; of a language of a handful of documents hardly any is rejected.
 
 Quartiles are read off exact histograms of rounded measures, which tasks count before
 anything is shuffled; a class of a language is a few thousand bins however many documents it has.
@@ -181,10 +183,8 @@ def fences(counts: DataFrame, lang_col: str, *, spread: float, least_docs: int)
         "_lang", "_class", "b.measure", "b.bin").agg(F.count(F.lit(1)).alias("n"))
     counted = save_and_reload(counted, "histogram")
     # Bins become distances from the language's median, so that classes of all languages can be laid together.
-    every = F.broadcast(_quartiles(counted).select("measure", F.col("q2").alias("every")))
-    centres = _quartiles(counted, "_lang").join(every, "measure").select(
-        "_lang", "measure", F.col("docs").alias("lang_docs"),
-        F.when(F.col("docs") >= least_docs, F.col("q2")).otherwise(F.col("every")).alias("centre"))
+    centres = _quartiles(counted, "_lang").select(
+        "_lang", "measure", F.col("docs").alias("lang_docs"), F.col("q2").alias("centre"))
     away = counted.join(centres, ["_lang", "measure"]).withColumn("bin", F.col("bin") - F.col("centre"))
     away = save_and_reload(away, "histogram")
     # A class of few documents leans on the class in all languages, and that on all classes (1, 3) by the root of the tokens.
@@ -196,8 +196,12 @@ def fences(counts: DataFrame, lang_col: str, *, spread: float, least_docs: int)
     pool = _quartiles(away, "_class").join(F.broadcast(whole), "measure").select(
         "_class", "measure", *[lean(f"q{i}", F.col(f"w{i}") * wider, "docs").alias(f"p{i}") for i in (1, 3)])
     cells = _quartiles(away, "_lang", "_class").join(F.broadcast(pool), ["_class", "measure"]).join(centres, ["_lang", "measure"])
-    cells = cells.withColumns({f"q{i}": F.when(F.col("lang_docs") >= least_docs, lean(f"q{i}", F.col(f"p{i}"), "docs")).otherwise(
-        F.col(f"p{i}")) for i in (1, 3)})
+    # The fewer documents a language has, the more its own quartiles are inside whatever others say.
+    few = F.lit(least_docs) / (F.col("lang_docs") + F.lit(least_docs))
+    leant = {i: lean(f"q{i}", F.col(f"p{i}"), "docs") for i in (1, 3)}
+    cells = cells.withColumns({
+        "q1": leant[1] - few * F.greatest(leant[1] - F.col("q1"), F.lit(0.0)),
+        "q3": leant[3] + few * F.greatest(F.col("q3") - leant[3], F.lit(0.0))})
     wide = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_DISTANCE * STEPS))
     side = {"low": F.col("centre") + F.col("q1") - wide, "high": F.col("centre") + F.col("q3") + wide}
     return cells.groupBy("_lang", "_class").agg(*[

@@ -60,10 +60,28 @@ def test_verdicts(spark, documents):
 def test_marked_up_words_are_rejected(spark, documents):
     rng = random.Random(7)
     words = "the river stone house light water green walk over under little people".split()
-    text = lambda n, mark: mark.join(rng.choice(words) + str(rng.randrange(900)) for _ in range(n))
-    rows = [(i, text(rng.randrange(40, 1500), " "), "en", "s") for i in range(600)]
-    rows += [(1000 + i, text(rng.randrange(200, 900), " | "), "en", "s") for i in range(40)]
+    text = lambda n, marks: "".join(rng.choice(words) + str(rng.randrange(900)) + rng.choice(marks) for _ in range(n))
+    rows = [(i, text(rng.randrange(40, 1500), [" "]), "en", "s") for i in range(600)]
+    rows += [(1000 + i, text(rng.randrange(200, 900), [" ", " | "]), "en", "s") for i in range(40)]
     got = fertility.judged(fertility.measured(documents(rows), PATH, keep=["doc_id", "lang"])).collect()
     assert not any(r.base_failed for r in got)
     assert sum(not r.kept for r in got if r.doc_id >= 1000) >= 36
     assert sum(not r.kept for r in got if r.doc_id < 1000) <= 6
+
+
+def test_small_language_in_another_script(spark, documents):
+    """Its documents are kept at any number, and verdicts do not turn where there is one more."""
+    rng = random.Random(8)
+    latin = "the river stone house light water green walk over under little people".split()
+    other = "ποτάμι πέτρα σπίτι φως νερό πράσινο δρόμος κάτω μικρός άνθρωπος թագավոր գետ".split()
+    text = lambda words: " ".join(rng.choice(words) + str(rng.randrange(900)) for _ in range(rng.randrange(40, 400)))
+    rows = [(i, text(latin), "en", "s") for i in range(1500)] + [(9000, text(other), "zz", "s")]
+    few = [(2000 + i, text(other), "el", "s") for i in range(200)]
+    counts = fertility.measured(documents(rows + few), PATH, keep=["doc_id", "lang"]).toPandas()
+    kept = {}
+    for n in (3, 40, 199, 200):
+        some = spark.createDataFrame(counts[(counts.doc_id < 2000 + n) | (counts.doc_id == 9000)])
+        kept[n] = {r.doc_id for r in fertility.judged(some).filter("kept").collect()}
+        assert 9000 in kept[n]
+        assert sum(2000 <= i < 9000 for i in kept[n]) >= 0.97 * n
+    assert kept[199] == kept[200] - {2199}
