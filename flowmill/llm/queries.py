@@ -44,7 +44,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by host rules, else by the ratio of two character models."""
     return url_filter.judge_urls(
-        _table(spark, sf_dir, "pages").select("page_id", "url"), seed_terms=SPAM_TERMS)
+        _table(spark, sf_dir, "pages").select("page_id", "url"), seed_terms=SPAM_TERMS, folds=2)
 
 
 @_query("op3_quality_rules")

@@ -20,6 +20,8 @@ learnt: all is allowed. Repeated rows are judged alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +122,7 @@ def scored(texts: DataFrame, ratios: DataFrame) -> DataFrame:
 
 def judge_urls(
     urls: DataFrame, *, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES,
-    seed_terms: tuple[str, ...] = (), background: bool = True, wrongly_blocked: float = 0.002,
+    seed_terms: tuple[str, ...] = (), background: bool = True, wrongly_blocked: float = 0.002, folds: int = 1,
 ) -> DataFrame:
     """``keep``, host, path, rule, verdict and score (null where a rule decides).
 
@@ -128,6 +130,9 @@ def judge_urls(
     With ``background``, urls that nothing decides count as accepted examples: most are, and the
     accepted model then knows their domains, which no rule may name.
     The threshold is the ``wrongly_blocked`` quantile of the accepted urls' scores.
+    With more than one of ``folds``, hosts are dealt to folds and a url is scored by models that have learnt
+    nothing from its fold but seeded hosts, so no url trains its own acceptance; the threshold is then
+    the quantile of the urls that a rule allows, if there are any, which are held out alike.
     """
     rows = urls.select(*keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = with_rule(rows, rules).withColumn("text", F.concat("host", "path"))
@@ -137,14 +142,27 @@ def judge_urls(
         seeded = seeded | F.col("host").contains(term)
     label = F.when(seeded, False).when(F.col("rule_verdict").isNotNull(), F.col("rule_verdict") == "allow")
     label = label.otherwise(F.lit(True)) if background else label
-    learnt = rows.withColumn("accepted", label).filter("accepted is not null and length(text) > 0").groupBy(
-        "text", "accepted").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(folds)))
+    allowed = F.coalesce(F.col("rule_verdict") == "allow", F.lit(False))
+    learnt = rows.withColumns({"accepted": label, "seeded": seeded, "allowed": allowed}).filter(
+        "accepted is not null and length(text) > 0").groupBy("text", "fold", "accepted", "seeded", "allowed").agg(
+        F.count(F.lit(1)).alias("n"))
     learnt = save_and_reload(learnt, "learnt")
     # Windows of the urls to judge are counted with weight 0, so that every window has a ratio.
-    asked = rows.select("text").distinct().select("text", F.lit(True).alias("accepted"), F.lit(0).cast("bigint").alias("n"))
+    asked = rows.select("text", "fold").distinct().select(
+        "text", F.lit(True).alias("accepted"), F.lit(0).cast("bigint").alias("n"), "fold")
     kinds = learnt.agg(F.count_distinct("accepted")).first()[0]
-    scores = save_and_reload(scored(rows, log_ratios(learnt.unionByName(asked))), "scores")
-    good = learnt.filter("accepted").join(scores, "text")
+    parts = []
+    for fold in range(folds):
+        own = F.col("fold") == fold
+        train = learnt.filter(F.col("seeded") | ~own) if folds > 1 else learnt
+        texts = train.select("text", "accepted", "n").unionByName(asked.filter(own).drop("fold"))
+        parts.append(scored(rows.filter(own), log_ratios(texts)))
+    scores = save_and_reload(reduce(DataFrame.unionByName, parts), "scores")
+    good = learnt.filter("accepted")
+    if folds > 1 and not good.filter("allowed").isEmpty():
+        good = good.filter("allowed")
+    good = good.join(scores, "text")
     # Exact quantile by counting scores in steps of 1e-6.
     steps = good.groupBy(F.floor(F.col("score") * 1e6).alias("step")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.orderBy("step"))

@@ -79,3 +79,20 @@ def test_nothing_to_learn(spark):
     one = spark.createDataFrame([(1, "http://a.net/x"), (None, None)], "page_id long, url string")
     assert [r.verdict for r in uf.judge_urls(one).collect()] == ["allow", "allow"]
     assert uf.judge_urls(one.limit(0)).count() == 0
+
+
+def test_urls_do_not_train_their_own_acceptance(spark):
+    """An undecided host that is like rejected ones is blocked, however many urls it has."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice(["ri", "ver", "sto", "ne", "hou", "se", "li", "ght"]) for _ in range(3))
+    hosts = [f"{name()}.example.{rng.choice(['org', 'net', 'com'])}" for _ in range(40)]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'de', 'es'])}/{rng.randrange(300)}" for _ in range(400)]
+    urls += [f"http://cheap-pills.example.net/en/{i}" for i in range(40)] + [f"http://cheap-pillz.example.net/en/{i}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in uf.judge_urls(df, seed_terms=("pills",), folds=2).collect()}
+    assert len(got) == len(urls)
+    assert all(got[i].verdict == "block" for i in range(400, 540))
+    fair = [r for r in got.values() if r.rule is None and r.page_id < 400]
+    assert sum(r.verdict == "block" for r in fair) <= 0.05 * len(fair)  # 8 of 247: few hosts to learn from
+    before = uf.judge_urls(df, seed_terms=("pills",)).filter("page_id >= 440 and verdict = 'block'").count()
+    assert before < 50
