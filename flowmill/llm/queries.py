@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import fertility, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, tool_calls, url_filter, warc
+from flowmill.llm import (
+    fertility, filter_audit, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, spelling, tool_calls,
+    url_filter, warc,
+)
 from flowmill.session import save_and_reload, shared_folder
 
 #: Hosts with these are examples of what to reject.
@@ -120,3 +123,98 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_jaccard.shingle_components(docs, width=3, percent=90)
+
+
+@_query("op11_filter_audit", """
+with word_lists as (
+  select doc_id, coalesce(lang, '') as part, coalesce("text", '') as t,
+         regexp_extract_all(coalesce("text", ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+flags as (
+  select doc_id, part,
+         (len(words) < 100)::int
+         + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::int
+         + 8 * regexp_matches(t, '[#$%&*|]')::int
+         + 16 * coalesce(min(doc_id) over (partition by t) < doc_id, false)::int as mask
+  from word_lists),
+marks as (select doc_id, coalesce(max((quality = 1)::int), 0) as good, coalesce(max((toxic = 1)::int), 0) as toxic
+          from labels group by doc_id),
+cells as (
+  select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from flags left join marks using (doc_id) group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as b),
+orders as (
+  select p.f || q.f || r.f || s.f || t.f as filter_order, [p.b, q.b, r.b, s.b, t.b] as bits
+  from letters p, letters q, letters r, letters s, letters t
+  where p.b + q.b + r.b + s.b + t.b = 31 and p.b | q.b | r.b | s.b | t.b = 31),
+steps as (
+  select filter_order, step, bits[step] as b,
+         list_sum(bits[1:step])::int as upto from orders, (select unnest([1, 2, 3, 4, 5]) as step)),
+walked as (
+  select part, filter_order, step, b,
+         sum(case when mask & upto = 0 then n else 0 end) as kept,
+         sum(case when mask & upto = b then n else 0 end) as removed,
+         sum(case when mask & b > 0 and mask & upto <> b then n else 0 end) as redundant,
+         sum(case when mask = b then n else 0 end) as unique_fails,
+         sum(case when mask & upto = b then good else 0 end) as good_lost,
+         sum(case when mask & upto = b then toxic else 0 end) as toxic_lost
+  from cells, steps group by part, filter_order, step, b)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed,
+       redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+       toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, b))::bigint as shapley
+from walked
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by language."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filter_audit.interaction_audit(filter_audit.failure_cells(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op13_spelling_variants", """
+with recursive crc(byte, value, bit) as (
+  select b::bigint, b::bigint, 0 from range(256) r(b)
+  union all
+  select byte, case when value % 2 = 1 then xor(value // 2, 3988292384) else value // 2 end, bit + 1 from crc where bit < 8),
+crc_table as (select list(value order by byte) as items from crc where bit = 8),
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all("text", '[A-Za-z\\x{00C0}-\\x{00FF}]{6,}')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+grouped as (select doc_id, run, count(*) as n from runs group by doc_id, run),
+digests as (
+  select run, n, xor(4294967295::bigint, list_reduce(
+           list_prepend(4294967295::bigint, list_transform(
+             string_split(regexp_replace(hex(encode(coalesce(doc_id::varchar, '') || ':' || run)), '(..)', '\\1,', 'g'), ',')[:-2],
+             lambda x: ('0x' || x)::bigint)),
+           lambda a, x: xor(a >> 8, items[(xor(a, x) & 255) + 1]))) as h
+  from grouped, crc_table),
+noisy as (
+  select case when h % 199 = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word, n
+  from digests),
+words as (
+  select word, sum(n)::bigint as n from noisy where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as (
+  select word, n, pos, word[1 : pos] || word[pos + 2 :] as rest
+  from (select word, n, unnest(range(length(word))) as pos from words)),
+pairs as (
+  select x.word as a, y.word as b, y.n as n_b from cuts x join cuts y using (pos, rest)
+  where x.word <> y.word and length(x.word) = length(y.word)
+  union select x.word, y.word, y.n from cuts x join words y on x.rest = y.word
+  union select y.word, x.word, x.n from cuts x join words y on x.rest = y.word),
+best as (select a, count(*) as n_near, max(n_b) as top from pairs group by a),
+tops as (select pairs.a, min(b) as b, any_value(top) as top, any_value(n_near) as n_near
+         from pairs join best on pairs.a = best.a and n_b = top group by pairs.a),
+formed as (
+  select word, n, coalesce(n_near, 0) as n_near, case when top >= 5 * n then b end as form,
+         case when top >= 5 * n then top end as form_n
+  from words left join tops on word = a),
+chain(word, last) as (
+  select word, word from formed
+  union all select chain.word, formed.form from chain join formed on chain.last = formed.word where form is not null)
+select formed.word, form, chain.last as root, n, n_near::bigint as n_near, form_n
+from formed join chain on formed.word = chain.word
+where not exists (select 1 from formed x where x.word = chain.last and x.form is not null)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, typos planted, each with its near words and the form it is a variant of."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_groups(save_and_reload(spelling.corpus_words(docs), "words"))
