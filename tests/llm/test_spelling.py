@@ -69,6 +69,7 @@ def test_texts_against_brute_force(spark):
                 r = [r[:at] + r[at + 1 :], r[:at] + "b" + r[at:], r[:at] + "ö" + r[at + 1 :]][int(rng.integers(3))]
             words.append(r.upper() if rng.random() < 0.1 and r.isascii() else r)
         docs.append((i * 1000, ["-", " ", "\n1"][i % 3].join(words)))
+    docs += [(9000 + i, " ".join([w] * n)) for i, (w, n) in enumerate([("kkkkllll", 400), ("kkkklllm", 60), ("kkkkllmm", 8)])]
     docs += [(None, " ".join(roots)), (0, docs[0][1]), (0, docs[0][1]), (5, None), (6, ""), (7, "日本語" + "Ä" * 9)]
     expected = _groups(_words(docs))
     assert any(r[1] for r in expected) and any(r[2] not in (r[0], r[1]) for r in expected)
