@@ -217,4 +217,4 @@ where not exists (select 1 from formed x where x.word = chain.last and x.form is
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, typos planted, each with its near words and the form it is a variant of."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spelling.spelling_groups(save_and_reload(spelling.corpus_words(docs), "words"))
+    return spelling.spelling_groups(spelling.corpus_words(docs))

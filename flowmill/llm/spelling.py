@@ -25,8 +25,10 @@ rows count again; no words give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,27 +148,26 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _listed(words: DataFrame, symbols: int) -> DataFrame:
-    """(key, b, n_b): every word under its two keys."""
+    """(key, b): every word's id under its two keys."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("word").to_pylist()
-            for rows, codes in _by_length(texts):
+            ids = batch.column("id").to_numpy()
+            for rows, codes in _by_length(batch.column("word").to_pylist()):
                 own = _Words(codes, symbols).own_keys()
-                taken = pa.array(np.repeat(rows, 2))
-                yield pa.record_batch([pa.array(own.ravel().astype(np.int64)), batch.column("word").take(taken),
-                                       batch.column("n").take(taken)], names=["key", "b", "n_b"])
+                yield pa.record_batch([pa.array(own.ravel().astype(np.int64)), pa.array(np.repeat(ids[rows], 2))],
+                                      names=["key", "b"])
 
-    return words.select("word", "n").mapInArrow(keys, "key bigint, b string, n_b bigint")
+    return words.select("id", "word").mapInArrow(keys, "key bigint, b bigint")
 
 
 def _generated(words: DataFrame, symbols: int) -> DataFrame:
-    """(key, a): every word under the keys of its reduced word's one-edit neighbourhood."""
+    """(key, a): every word's id under the keys of its reduced word's one-edit neighbourhood."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("word").to_pylist()
-            for rows, codes in _by_length(texts):
+            ids = batch.column("id").to_numpy()
+            for rows, codes in _by_length(batch.column("word").to_pylist()):
                 group = _Words(codes, symbols)
                 width = max(1, MOST_KEYS // (len(rows) * (2 * symbols + 1)))
                 for first in range(0, group.length + 1, width):
@@ -174,29 +175,51 @@ def _generated(words: DataFrame, symbols: int) -> DataFrame:
                     found.sort(axis=1)  # edits within a run of one symbol give equal keys
                     fresh = np.ones(found.shape, dtype=bool)
                     fresh[:, 1:] = found[:, 1:] != found[:, :-1]
-                    taken = pa.array(np.repeat(rows, fresh.sum(axis=1)))
-                    yield pa.record_batch([pa.array(found[fresh].astype(np.int64)), batch.column("word").take(taken)],
-                                          names=["key", "a"])
+                    yield pa.record_batch([pa.array(found[fresh].astype(np.int64)),
+                                           pa.array(np.repeat(ids[rows], fresh.sum(axis=1)))], names=["key", "a"])
 
-    return words.select("word").mapInArrow(keys, "key bigint, a string")
+    return words.select("id", "word").mapInArrow(keys, "key bigint, a bigint")
+
+
+def is_one_edit(a: str, b: str) -> bool:
+    """Whether exactly one inserted, deleted or replaced letter turns one word into the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    same = len(commonprefix([a, b]))
+    if len(a) == len(b):
+        return a != b and a[same + 1 :] == b[same + 1 :]
+    return len(b) == len(a) + 1 and a[same:] == b[same + 1 :]
+
+
+@F.pandas_udf("boolean")
+def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([is_one_edit(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """(a, b, n_b): all ordered pairs of words that differ by exactly one edit, once each."""
-    pairs = _generated(words, symbols).join(_listed(words, symbols), "key")
-    near = pairs.filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
-    return near.select("a", "b", "n_b").repartition("a").dropDuplicates(["a", "b"])
+    """(a, word, b, n_b): all ordered pairs of words that differ by exactly one edit, once each.
+
+    ``words`` is a stored table of distinct (id, word, n); a is an id, word and b are words. Only ids
+    travel with the keys, so a word of any length costs the neighbourhood a few bytes a place.
+    """
+    pairs = _generated(words, symbols).join(_listed(words, symbols), "key").filter("a <> b")
+    pairs = pairs.select("a", F.col("b").alias("b_id")).distinct()
+    left = words.select(F.col("id").alias("a"), "word")
+    right = words.select(F.col("id").alias("b_id"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    near = pairs.join(right, "b_id").join(left, "a").filter(_one_edit("word", "b"))
+    return near.select("a", "word", "b", "n_b")
 
 
 def spelling_groups(words: DataFrame, ratio: int = 5, symbols: int = SYMBOLS) -> DataFrame:
-    """word, form, root, n, n_near, form_n for a stored table of distinct (word, n).
+    """word, form, root, n, n_near, form_n for distinct (word, n).
 
     form: the near word of largest n (ties: smallest by code points) if that is at least ``ratio`` times
     the word's n. root: the last of the forms from the word on.
     """
+    words = save_and_reload(words.withColumn("id", F.monotonically_increasing_id()), "words")
     best = near_words(words, symbols).groupBy("a").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("less"), "b")).alias("best"))
-    joined = words.join(best, words["word"] == best["a"], "left")
+    joined = words.join(best, words["id"] == best["a"], "left")
     enough = -F.col("best.less") >= F.col("n") * ratio
     formed = save_and_reload(joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),

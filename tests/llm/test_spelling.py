@@ -8,7 +8,6 @@ import numpy as np
 import pyspark.sql.functions as F
 
 from flowmill.llm.spelling import corpus_words, near_words, spelling_groups
-from flowmill.session import save_and_reload
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,7 +50,7 @@ def _groups(words):
 
 def _spark(spark, docs):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("word", F.lit("x")).withColumn("n", F.lit(1))
-    rows = spelling_groups(save_and_reload(corpus_words(frame), "words")).collect()
+    rows = spelling_groups(corpus_words(frame)).collect()
     assert len({r.word for r in rows}) == len(rows)
     return {tuple(r) for r in rows}
 
@@ -98,8 +97,8 @@ def test_links_of_a_crowded_reduced_alphabet(spark):
     """With one symbol every word of a length shares a reduced word; nothing is lost."""
     rng = np.random.default_rng(1)
     words = sorted({"".join(rng.choice(list("abx"), int(rng.integers(6, 9)))) for _ in range(300)})
-    frame = spark.createDataFrame([(w, 5 + i) for i, w in enumerate(words)], "word string, n bigint")
+    frame = spark.createDataFrame([(i, w, 5 + i) for i, w in enumerate(words)], "id bigint, word string, n bigint")
     expected = {(a, b) for a in words for b in words if _one_edit(a, b)}
     for symbols in (1, 2, 6):
         rows = near_words(frame, symbols).collect()
-        assert {(r.a, r.b) for r in rows} == expected and len(rows) == len(expected)
+        assert {(r.word, r.b) for r in rows} == expected and len(rows) == len(expected)
