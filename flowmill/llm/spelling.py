@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowmill.session import save_and_reload
 
@@ -191,7 +192,7 @@ def is_one_edit(a: str, b: str) -> bool:
     return len(b) == len(a) + 1 and a[same:] == b[same + 1 :]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([is_one_edit(x, y) for x, y in zip(a, b)], dtype=bool)
 
