@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.llm import (
-    fertility, filter_audit, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, spelling, tool_calls,
-    url_filter, warc,
+    fertility, filter_audit, licenses, mixing, ngram_jaccard, order_minhash, ordinal, packing, spelling, style_tree,
+    tool_calls, url_filter, warc,
 )
 from flowmill.session import save_and_reload, shared_folder
 
@@ -170,6 +170,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interaction_audit(filter_audit.failure_cells(docs, _table(spark, sf_dir, "labels")))
 
 
+@_query("op12_style_tree")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, after the style trees of all hosts."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return style_tree.extract_pages(pages).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @_query("op13_spelling_variants", """
 with recursive crc(byte, value, bit) as (
   select b::bigint, b::bigint, 0 from range(256) r(b)
