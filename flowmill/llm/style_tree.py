@@ -279,6 +279,7 @@ def main_text(blocks: DataFrame, importance: DataFrame, least: float = LEAST_IMP
     asked = blocks.select("_uid", "_host", F.explode(mine).alias("node"))
     asked = asked.withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.lit(SALTS)).cast("int"))
     removed = asked.join(low, ["_host", "node", "_salt"]).groupBy("_uid").agg(F.collect_list("node").alias("_removed"))
+    removed = save_and_reload(removed, "removed")  # of known size: the texts stay where they are if it is small
     joined = blocks.join(removed, "_uid", "left").withColumn("_removed", F.coalesce("_removed", F.array().cast("array<bigint>")))
     if named:
         kept = F.filter("_blocks", lambda b: (b["role"] == ARTICLE) | (
