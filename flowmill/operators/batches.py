@@ -17,7 +17,7 @@ def shuffle(df: DataFrame, ident: list[str], seed=7, epoch: int = 0, rank: str =
     key = hash_key(seed, "shuffle", epoch, *[F.col(c) for c in ident])
     keyed = df.withColumn("_key", key)
     return with_rank(
-        keyed, [], [F.col("_key")], hash_bucket(F.col("_key")), rank=rank, total="total"
+        keyed, [], [F.col("_key")], hash_bucket(F.col("_key")), rank=rank, total="total", once=True
     ).drop("_key")
 
 

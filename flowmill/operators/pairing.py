@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.functions.ranking import with_rank
-from flowmill.sources.corpus import SEPARATOR
+from flowmill.sources import corpus
 
 
 def pair_modalities(raw: DataFrame, size: DataFrame, key: str = "flow_key") -> DataFrame:
@@ -16,24 +15,30 @@ def pair_modalities(raw: DataFrame, size: DataFrame, key: str = "flow_key") -> D
     return raw.join(size.drop(*shared), key).filter(F.size(iat) > 0)
 
 
-def with_ordinal(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a foreign corpus (one text file) with their ordinal in the file.
+def pair_corpora(spark: SparkSession, raw_path: str, size_path: str, strict: bool = True) -> DataFrame:
+    """Pair the n-th record of a raw corpus with the n-th of a size corpus, to the shorter length.
 
-    Rows keep their place through the file split they come from and their order
-    within its task; ranks are counted by split, so no task sees all records.
+    Rows: record, protocol (of the raw side), size_protocol, packets, size_tokens, iat_tokens. Pairs whose
+    sides disagree on the protocol stay, see :func:`pairing_audit`; those without IAT tokens are left out. Flows
+    without packets stay. With ``strict`` a raw protocol that is no number raises.
     """
-    text = (
-        spark.read.option("lineSep", SEPARATOR + "\n").text(path)
-        .select(
-            "value", F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_in_task"),
-        )
-        .filter(F.col("value") != "")
-    )
-    return with_rank(
-        text, [], [F.col("_in_task")], F.struct("_path", "_start"), rank="ordinal"
-    ).select("ordinal", "value")
+    raw, size = corpus.raw_flows(spark, raw_path, strict), corpus.size_flows(spark, size_path)
+    both = raw.join(size.withColumnRenamed("protocol", "size_protocol"), "record")
+    return both.filter(F.size("iat_tokens") > 0)
+
+
+def pairing_audit(spark: SparkSession, raw_path: str, size_path: str) -> DataFrame:
+    """One row of counts on two corpora: raw_flows, size_flows, pairs (by ordinal), protocol_mismatches and
+    empty_iat (pairs left out). Flows are the separator lines."""
+    n_raw = corpus.corpus_counts(spark, raw_path).select(F.col("flows").alias("raw_flows"))
+    n_size = corpus.corpus_counts(spark, size_path).select(F.col("flows").alias("size_flows"))
+    raw = corpus.raw_flows(spark, raw_path).select("record", "protocol")
+    size = corpus.size_flows(spark, size_path).select("record", F.col("protocol").alias("size_protocol"), "iat_tokens")
+    counts = raw.join(size, "record").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count(F.when(F.col("protocol") != F.col("size_protocol"), 1)).alias("protocol_mismatches"),
+        F.count(F.when(F.size("iat_tokens") == 0, 1)).alias("empty_iat"))
+    return n_raw.crossJoin(n_size).crossJoin(counts)  # one row each
 
 
 def protocol_mismatches(raw: DataFrame, size: DataFrame, key: str = "flow_key") -> DataFrame:

@@ -38,22 +38,26 @@ def _ranked(samples: DataFrame, seed, ident: str, purpose: str, keep: Column | N
     keyed = samples.withColumn("_key", hash_key(seed, purpose, F.col(ident)))
     return with_rank(
         keyed, ["label_name"], [F.col("_key")], hash_bucket(F.col("_key")),
-        rank="rank", total="class_total", keep=keep,
+        rank="rank", total="class_total", keep=keep, once=True,
     ).drop("_key")
 
 
-def cap_per_class(samples: DataFrame, cap: int = MAX_PER_CLASS, seed=42, ident: str = "flow_key") -> DataFrame:
-    """Uniform sample of at most ``cap`` per class, without replacement."""
-    return _ranked(samples, seed, ident, "sample", F.col("rank") < cap)
+def cap_per_class(samples: DataFrame, cap: int | None = MAX_PER_CLASS, seed=42, ident: str = "flow_key") -> DataFrame:
+    """Uniform sample of at most ``cap`` per class, without replacement; None takes all."""
+    return _ranked(samples, seed, ident, "sample", None if cap is None else F.col("rank") < cap)
+
+
+def _taken(cap: int | None) -> Column:
+    return F.col("class_total") if cap is None else F.least("class_total", F.lit(cap))
 
 
 def stratified_split(
     samples: DataFrame, train: float = TRAIN_SHARE, val: float = VAL_SHARE,
-    cap: int = MAX_PER_CLASS, seed=42, ident: str = "flow_key",
+    cap: int | None = MAX_PER_CLASS, seed=42, ident: str = "flow_key",
 ) -> DataFrame:
     """Add ``split``: per class int(n*train) train, int(n*val) val, the rest test."""
     kept = cap_per_class(samples, cap, seed, ident)
-    n = F.least("class_total", F.lit(cap))
+    n = _taken(cap)
     first = F.floor(n * F.lit(float(train)))
     second = first + F.floor(n * F.lit(float(val)))
     split = F.when(F.col("rank") < first, "train").when(F.col("rank") < second, "val").otherwise("test")
@@ -62,7 +66,7 @@ def stratified_split(
 
 def split_with_test(
     samples: DataFrame, test: DataFrame, train: float = TRAIN_SHARE, val: float = VAL_SHARE,
-    minimum: int = MIN_PER_CLASS, cap: int = MAX_PER_CLASS, seed=42, ident: str = "flow_key",
+    minimum: int = MIN_PER_CLASS, cap: int | None = MAX_PER_CLASS, seed=42, ident: str = "flow_key",
 ) -> DataFrame:
     """Train and val from one set, test from another: no cap and no minimum there.
 
@@ -72,7 +76,7 @@ def split_with_test(
     labels = label_ids(label_counts(samples, minimum))
     known = attach_label_id(samples, labels)
     parts = cap_per_class(known, cap, seed, ident)
-    n = F.least("class_total", F.lit(cap))
+    n = _taken(cap)
     cut = F.floor(n * F.lit(float(train) / (float(train) + float(val))))
     fit = parts.withColumn("split", F.when(F.col("rank") < cut, "train").otherwise("val"))
     held = attach_label_id(test, labels).withColumn("split", F.lit("test"))

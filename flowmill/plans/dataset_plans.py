@@ -103,13 +103,13 @@ def fit_and_held(spark, sf_dir):
     return fit, rows.filter(F.col("capture") == 2)
 
 
-@query("split_with_test_dir", """
-  select flow_key, label, case when rank < floor(least(total, 150) * (0.8e0 / (0.8e0 + 0.1e0)))
+@query("split_with_test_dir", f"""
+  select flow_key, label, case when rank < floor(least(total, {CAP}) * (0.8e0 / (0.8e0 + 0.1e0)))
                                then 'train' else 'val' end split
   from (select *, row_number() over (partition by label_name order by md5(concat_ws('|', 42, 'sample', flow_key))) - 1 as rank,
                count(*) over (partition by label_name) total
         from fit_part join fit_map using (label_name))
-  where rank < 150
+  where rank < {CAP}
   union all
   select flow_key, label, 'test' from held_part join fit_map using (label_name)
 """, "fit_part", "held_part", "fit_map")

@@ -6,17 +6,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowmill.functions.arrays import joined
+from flowmill.functions.ranking import with_rank
 from flowmill.functions.rng import uniform
 from flowmill.operators import batches as ba
 from flowmill.operators import encode as en
 from flowmill.operators import entropy
 from flowmill.operators import evaluate as ev
 from flowmill.operators import masking as ma
-from flowmill.operators import model
+from flowmill.operators import model, pairing
 from flowmill.plans.flow_plans import sequences
 from flowmill.plans.oracle import define
 from flowmill.plans.registry import query
-from flowmill.session import shared_folder
+from flowmill.session import save_and_reload, shared_folder
 from flowmill.sources import tables
 
 SEED = 7
@@ -489,11 +490,54 @@ def masked_accuracy(spark, sf_dir):
   from raw_seq join size_seq using (flow_key) join flow_list using (flow_key)
 """, "raw_seq", "size_seq", "flow_list")
 def pair_modalities(spark, sf_dir):
-    from flowmill.operators import pairing
-
     rows = sequences(spark, sf_dir)
     raw = en.encode_raw(rows).select("flow_key", "label", "proto", "src")
     size = en.encode_size_iat(rows).select("flow_key", "proto", "src_size", "src_iat")
     return pairing.pair_modalities(raw, size).select(
         "flow_key", "label", joined(F.col("src")).alias("src"), joined(F.col("src_size")).alias("src_size")
     )
+
+
+# Two corpora of one flow order that went apart: Windows line ends, padded separators, a protocol
+# that differs in every seventh flow, no IATs in every fifth, and one side shorter.
+define("two_corpora", """
+  select (row_number() over (order by flow_key)) - 1 as record, * from sequences
+""", "sequences")
+
+
+def two_corpora(spark, sf_dir):
+    rows = save_and_reload(sequences(spark, sf_dir), "sequences")
+    rows = with_rank(rows, [], [F.col("flow_key")], F.substring("flow_key", 1, 8), rank="record", total="n")
+    rows = save_and_reload(rows, "ordered").repartitionByRange(6, "record").sortWithinPartitions("record")
+    number = F.col("record")
+    packets = F.transform("packets", lambda p: F.concat_ws(" ", p["direction"].cast("string"), F.array_join(p["tokens"], " ")))
+    raw = F.concat_ws("\n", F.lit("|| "), F.col("proto").cast("string"), F.array_join(packets, "\n"))
+    other = F.when(number % 7 == 0, 23 - F.col("proto")).otherwise(F.col("proto"))
+    iats = F.when(number % 5 == 0, F.lit("")).otherwise(joined(F.col("iat_tokens")))
+    size = F.concat_ws("\r\n", F.lit("\t||"), other.cast("string"), joined(F.col("size_tokens")), iats)
+    paths = shared_folder(spark, "raw-side"), shared_folder(spark, "size-side")
+    rows.select(raw.alias("value")).write.text(paths[0])
+    rows.filter(number < F.col("n") - 3).select(size.alias("value")).write.option("lineSep", "\r\n").text(paths[1])
+    return paths
+
+
+@query("pair_corpora", """
+  select record, if(proto = 6, 0, 1) protocol, if(record % 7 = 0, 1 - if(proto = 6, 0, 1), if(proto = 6, 0, 1)) size_protocol,
+         packets, sizes as size_tokens, iats as iat_tokens
+  from two_corpora where record % 5 <> 0 and record < (select count(*) from two_corpora) - 3
+""", "two_corpora")
+def pair_corpora(spark, sf_dir):
+    lines = F.transform("packets", lambda p: F.concat_ws(" ", p["direction"].cast("string"), F.array_join(p["tokens"], " ")))
+    return pairing.pair_corpora(spark, *two_corpora(spark, sf_dir)).select(
+        "record", "protocol", "size_protocol", F.array_join(lines, "\n").alias("packets"),
+        joined(F.col("size_tokens")).alias("size_tokens"), joined(F.col("iat_tokens")).alias("iat_tokens"))
+
+
+@query("pairing_audit", """
+  select count(*) raw_flows, greatest(count(*) - 3, 0) size_flows, greatest(count(*) - 3, 0) pairs,
+         count(*) filter (record % 7 = 0 and record < n - 3) protocol_mismatches,
+         count(*) filter (record % 5 = 0 and record < n - 3) empty_iat
+  from (select *, count(*) over () n from two_corpora)
+""", "two_corpora")
+def pairing_audit(spark, sf_dir):
+    return pairing.pairing_audit(spark, *two_corpora(spark, sf_dir))

@@ -13,6 +13,7 @@ from flowmill.plans.oracle import define
 from flowmill.plans.registry import query
 from flowmill.session import save_and_reload, shared_folder
 from flowmill.sources import tables
+from flowmill.sources.lines import numbered_lines
 
 PUNCT = r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}]"
 CJK = (
@@ -119,9 +120,8 @@ def stored_vocab(spark, sf_dir):
 
 @query("write_vocab", "select token as line, id as line_number from vocabulary", "vocabulary")
 def write_vocab(spark, sf_dir):
-    text = spark.read.text(stored_vocab(spark, sf_dir), wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
-    return lines.filter(F.col("line") != "").select("line", F.col("line_number").cast("bigint").alias("line_number"))
+    lines = numbered_lines(spark, stored_vocab(spark, sf_dir))
+    return lines.select(F.col("value").alias("line"), F.col("line").alias("line_number"))
 
 
 @query("read_vocab", "select token, id from vocabulary", "vocabulary")

@@ -5,28 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.sources.lines import numbered_lines
+
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """One token per line; the line number is the id, so one file in id order.
+    """One token per line in id order; the line number, counted on over the files, is the id.
 
-    A vocabulary is as long as a model's embedding table; it is refused beyond
-    2^24 tokens rather than sorted through one task.
+    Each task writes a range of ids, and the files' names are in the order of the ranges.
     """
-    n = vocab.count()
-    if n > 1 << 24:
-        raise ValueError(f"vocabulary of {n} tokens: keep it as a table (token, id)")
-    vocab.repartition(1).sortWithinPartitions("id").select("token").write.text(path)
+    parts = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocab.repartitionByRange(parts, "id").sortWithinPartitions("id").select("token").write.text(path)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """(token, id); a repeated token keeps its last id."""
-    text = spark.read.text(path, wholetext=True)
-    lines = F.regexp_replace("value", "\n$", "")
-    rows = text.select(F.posexplode(F.split(lines, "\n")).alias("id", "line"))
-    return (
-        rows.select(F.split(F.btrim("line"), r"\s+")[0].alias("token"), "id")
-        .groupBy("token").agg(F.max("id").alias("id"))
-    )
+    """(token, id); the id is the line number, and a repeated token keeps its last."""
+    lines = numbered_lines(spark, path)
+    rows = lines.select(F.split(F.btrim("value"), r"\s+")[0].alias("token"), F.col("line").alias("id"))
+    return rows.groupBy("token").agg(F.max("id").alias("id"))
 
 
 def write_instances(instances: DataFrame, path: str) -> None:
@@ -52,9 +47,9 @@ ERROR_COLUMNS = (
 
 
 def write_errors_csv(errors: DataFrame, path: str) -> bool:
-    """Misclassified samples as CSV with a header, most confident first; nothing when there are none."""
+    """Misclassified samples as CSV with a header, least confident first; nothing when there are none."""
     if errors.isEmpty():
         return False
-    out = errors.orderBy(F.desc("confidence"), "sample_index").withColumn("confidence", F.format_string("%.6f", F.col("confidence")))
+    out = errors.orderBy("confidence", "sample_index").withColumn("confidence", F.format_string("%.6f", F.col("confidence")))
     out.select(*ERROR_COLUMNS).write.option("header", True).csv(path)
     return True

@@ -1,10 +1,13 @@
 """Splits, evaluation, corpora, text and vocabularies on small cases."""
 
+import os
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowmill.functions.ranking import running_before
 from flowmill.functions.rng import uniform
 from flowmill.operators import contrastive as co
 from flowmill.operators import encode as en
@@ -14,6 +17,7 @@ from flowmill.operators import splits as sp
 from flowmill.operators import text as tx
 from flowmill.session import shared_folder
 from flowmill.sources import corpus, tables
+from flowmill.sources.lines import numbered_lines, record_lines
 
 
 def samples(spark, sizes):
@@ -138,25 +142,80 @@ def test_read_size_corpus(spark, tmp_path):
     assert rows == [(0, [1, 2], [3, 4]), (0, [1600, 1400], [2, 500])]
 
 
-def test_foreign_corpora_pair_by_ordinal(spark, tmp_path):
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in pieces of a few hundred bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "500")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_foreign_corpora_pair_by_ordinal(spark, tmp_path, small_splits):
     n = 300
-    (tmp_path / "raw.txt").write_text("".join(f"||\n6\n1 {i % 256:02x}\n" for i in range(n)))
-    (tmp_path / "size.txt").write_text("".join(f"||\n{6 if i else 17}\n{1500 + i}\n7\n" for i in range(n - 5)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
-    try:
-        raw = pairing.with_ordinal(spark, str(tmp_path / "raw.txt"))
-        size = pairing.with_ordinal(spark, str(tmp_path / "size.txt"))
-        assert [r.ordinal for r in raw.orderBy("ordinal").collect()] == list(range(n))
-        both = raw.join(size.withColumnRenamed("value", "sizes"), "ordinal")
-        for r in both.collect():
-            assert r.value == f"6\n1 {r.ordinal % 256:02x}\n" and str(1500 + r.ordinal) in r.sizes
-        assert both.count() == n - 5
-        sides = [d.select("ordinal", F.substring_index("value", "\n", 1).alias("protocol")) for d in (raw, size)]
-        assert pairing.protocol_mismatches(*sides, "ordinal").count() == 1
-        assert pairing.unpaired(*sides, "ordinal").count() == 5
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "raw.txt").write_text("junk\n" + "".join(f" || \r\n6\r\n1 {i % 256:02x} a||b\r\n\r\n" for i in range(n)), newline="")
+    (tmp_path / "size.txt").write_text("".join(f"||\n{6 if i else 17}\n{1500 + i}\n{'' if i % 50 == 3 else 7}\n" for i in range(n - 5)))
+    paths = str(tmp_path / "raw.txt"), str(tmp_path / "size.txt")
+    rows = pairing.pair_corpora(spark, *paths).orderBy("record").collect()
+    assert [r.record for r in rows] == [i for i in range(n - 5) if i % 50 != 3]
+    for r in rows:
+        assert [(p.direction, p.tokens) for p in r.packets] == [(1, [f"{r.record % 256:02x}", "a||b"])]
+        assert (r.protocol, r.size_protocol) == (0, int(r.record == 0))
+        assert (r.size_tokens, r.iat_tokens) == ([1500 + r.record], [7])
+    assert tuple(pairing.pairing_audit(spark, *paths).first()) == (n, n - 5, n - 5, 1, 6)
+
+
+def test_records_over_many_splits(spark, tmp_path, small_splits):
+    """Records longer than a split, several files, a separator as the last line: against a plain reader."""
+    rng = np.random.default_rng(4)
+    files = []
+    for name in ("a.txt", "b.txt", "c.txt"):
+        lines = []
+        for _ in range(12):
+            lines += ["||"] * int(rng.integers(1, 3)) + [f"{i} " + "x" * int(rng.integers(30)) for i in range(int(rng.choice([0, 1, 5, 200])))]
+        files.append(["early", *lines] if name == "a.txt" else lines)
+        (tmp_path / name).write_text("\n".join(files[-1]) + "\n")
+    expected, record, at = [], -1, 0
+    for line in sum(files, []):
+        record, at = (record + 1, 0) if line == "||" else (record, at + 1)
+        if record >= 0:
+            expected.append((record, at, line.strip()))
+    got = sorted(tuple(r) for r in record_lines(spark, str(tmp_path), "||").select("record", "at", "value").collect())
+    assert got == expected
+    numbered = sorted(tuple(r) for r in numbered_lines(spark, str(tmp_path)).collect())
+    assert numbered == list(enumerate(sum(files, [])))
+
+
+def test_a_record_of_many_packets_is_read_in_rows(spark, tmp_path, small_splits):
+    n = 3000
+    (tmp_path / "raw.txt").write_text("||\n6\n" + "".join(f"{1 - 2 * (i % 2)} {i:x} 00\n" for i in range(n)) + "||\n17\n1 ff\n")
+    packets = corpus.read_raw_packets(spark, str(tmp_path / "raw.txt"))
+    rows = [tuple(r) for r in packets.orderBy("record", "at").collect()]
+    assert rows == [(0, i + 2, 1 - 2 * (i % 2), [f"{i:x}", "00"]) for i in range(n)] + [(1, 2, 1, ["ff"])]
+    plan = packets._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # nothing gathers a record
+
+
+def test_running_totals_equal_a_plain_scan(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(k), int(rng.integers(-5, 6)), None if rng.random() < 0.5 else int(rng.integers(1000))) for k in rng.permutation(500)]
+    frame = spark.createDataFrame(rows, "k int, n int, m int").repartition(7)
+    got = running_before(frame, ["k"], {"before": "n"}, {"top": F.col("m") + F.col("before") * 0})
+    total, top = 0, None
+    for r, (k, n, m) in zip(got.orderBy("k").collect(), sorted(rows)):
+        assert (r.k, r.before, r.top) == (k, total, top)
+        total += n
+        top = m if top is None else top if m is None else max(top, m)
+    assert running_before(frame.limit(0), ["k"], {"before": "n"}).collect() == []
+
+
+def test_vocabulary_written_by_many_tasks(spark, tmp_path, small_splits):
+    rows = [(f"t{i % 900}", i) for i in range(1000)]
+    tables.write_vocab(spark.createDataFrame(rows, "token string, id bigint").repartition(5), str(tmp_path / "v"))
+    assert len([f for f in os.listdir(tmp_path / "v") if f.startswith("part-")]) > 1
+    got = {r.token: r.id for r in tables.read_vocab(spark, str(tmp_path / "v")).collect()}
+    assert got == dict(rows)
 
 
 def test_vocab_files(spark, tmp_path):
@@ -272,13 +331,13 @@ def test_all_unknown_labels_are_named(spark):
 
 def test_corpora_with_crlf_padding_and_odd_tokens(spark, tmp_path):
     raw = tmp_path / "raw.txt"
-    raw.write_bytes(b"6\r\n1 45 zz 4500\r\n-1 0a\r\n||\r\n17\n1 ff\n  || \n6\n1 00\n||\n")
+    raw.write_bytes(b"early\n||\r\n6\r\n1 45 zz 4500\r\n-1 0a\r\n||\r\n17\n1 ff\n  || \n6\n1 00\n")  # no record before the first ||
     flows = corpus.read_raw_corpus(spark, str(raw))
     assert corpus.corpus_counts(spark, str(raw)).first().flows == flows.count() == 3
     ids = [list(r.ids) for r in flows.select(en.raw_ids(F.col("packets")).alias("ids")).collect()]
     assert ids == [[5 + 0x45, 1, 1, 15], [260], [5]]
     size = tmp_path / "size.txt"
-    size.write_bytes(b"6\r\n10 x -3\r\n0 5 bad\r\n||\r\n17\n7\n0\n||\n")
+    size.write_bytes(b"||\r\n6\r\n10 x -3\r\n0 5 bad\r\n||\r\n17\n7\n0\n||\n")
     rows = corpus.read_size_corpus(spark, str(size))
     assert [(r.protocol, list(r.size_tokens), list(r.iat_tokens)) for r in rows.collect()] == [
         (0, [10, None, -3], [0, 5, None]), (1, [7], [0])]
@@ -301,4 +360,4 @@ def test_errors_are_written_most_confident_first(spark, tmp_path):
     found = []
     for f in sorted((tmp_path / "e").glob("part-*.csv")):
         found += [float(x.split(",")[-1]) for x in f.read_text().splitlines()[1:]]
-    assert found == sorted(found, reverse=True) and len(found) == 50
+    assert found == sorted(found) and len(found) == 50
