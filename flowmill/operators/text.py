@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from flowmill.functions.ranking import with_rank
 from flowmill.operators.encode import UNK
+from flowmill.session import save_and_reload
 
 # Fixed values.
 RESERVED_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
@@ -30,8 +31,10 @@ CJK_RANGES = (
 )
 ASCII_PUNCTUATION = ((33, 47), (58, 64), (91, 96), (123, 126))
 
-MAX_VOCAB = 1 << 22
+MAX_VOCAB_BYTES = 256 << 20
+ENTRY_BYTES = 200  # of a dictionary entry, besides the token's text
 CACHED_WORDS = 1 << 18
+PIECE_SALTS = 8
 
 
 def _class(ranges) -> str:
@@ -173,16 +176,15 @@ def basic_tokens(text: Column) -> Column:
     return per_distinct_word(lambda: _basic, T.StringType())(words(text))
 
 
-def vocab_lookup(vocab: DataFrame):
-    """Broadcast token -> id, after checking that the vocabulary is bounded.
+def vocab_lookup(vocab: DataFrame, most_bytes: int = MAX_VOCAB_BYTES):
+    """Broadcast token -> id if the vocabulary takes at most ``most_bytes`` in a worker, else None.
 
-    A vocabulary has a row per embedding of a model. One too large for a
-    worker's memory is refused; :func:`token_to_id` looks tokens up by a join
-    and has no such bound.
+    Without it, :func:`split_tokens` and :func:`encode_documents` find pieces by joins.
     """
-    rows = vocab.select("token", "id").limit(MAX_VOCAB + 1).toPandas()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"more than {MAX_VOCAB} tokens: use token_to_id, which joins")
+    size = vocab.agg(F.sum(F.octet_length("token") + ENTRY_BYTES)).first()[0] or 0
+    if size > most_bytes:
+        return None
+    rows = vocab.select("token", "id").toPandas()
     table = dict(zip(rows["token"], (int(i) for i in rows["id"])))
     return vocab.sparkSession.sparkContext.broadcast(table)
 
@@ -204,8 +206,67 @@ def wordpieces(tokens: Column, lookup) -> Column:
     return per_distinct_word(make, T.StringType())(tokens)
 
 
-def encode_documents(docs: DataFrame, lookup, text: str = "text") -> DataFrame:
-    """Add ``ids``: the text's piece ids. One pass over the text in one UDF."""
+def split_tokens(tokens: DataFrame, vocab: DataFrame, most_bytes: int = MAX_VOCAB_BYTES) -> DataFrame:
+    """(token, pieces, ids) of distinct tokens by greedy longest match, for a vocabulary of any size."""
+    lookup = vocab_lookup(vocab, most_bytes)
+    if lookup is None:
+        return joined_pieces(tokens, vocab)
+    one = F.array("token")
+    return tokens.select("token", wordpieces(one, lookup).alias("pieces"), wordpiece_ids(one, lookup).alias("ids"))
+
+
+def joined_pieces(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(token, pieces, ids) of distinct tokens by a join with the vocabulary.
+
+    Every substring a vocabulary entry could match, no longer than its longest one, meets the
+    vocabulary in one join; the longest match at each place is kept, and the walk from match to match is an
+    array expression on the token's own matches, at most one for each of its letters.
+    """
+    known = vocab.groupBy("token").agg(F.max("id").alias("id"))
+    longest = known.agg(F.max(F.char_length("token")).alias("longest"))
+    unknown = known.filter(F.col("token") == "[UNK]").agg(F.coalesce(F.max("id"), F.lit(UNK)).alias("unknown"))
+    length = F.char_length("token")
+    places = tokens.filter(length <= MAX_WORD).crossJoin(F.broadcast(longest)).select(
+        "token", "longest", F.explode(F.sequence(F.lit(1), length)).alias("place"))
+    reach = F.least(F.col("longest"), length - F.col("place") + 1)
+    spans = places.select("token", "place", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
+    part = F.substring(F.col("token"), F.col("place"), F.col("size"))
+    spans = spans.withColumn("piece", F.when(F.col("place") == 1, part).otherwise(F.concat(F.lit("##"), part)))
+    # A piece of one letter may be a third of all rows: the vocabulary is dealt out once for each salt.
+    salt = F.pmod(F.xxhash64("token"), F.lit(PIECE_SALTS))
+    dealt = known.select(F.col("token").alias("piece"), "id", F.explode(F.sequence(F.lit(0), F.lit(PIECE_SALTS - 1))).alias("_salt"))
+    found = spans.withColumn("_salt", salt.cast("int")).join(dealt, ["piece", "_salt"])
+    best = found.groupBy("token", "place").agg(F.max(F.struct("size", "piece", "id")).alias("best"))
+    matches = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("place").alias("key"), F.col("best").alias("value")))).alias("_at"))
+    rows = tokens.join(matches, "token", "left").crossJoin(F.broadcast(unknown))
+    kind = "struct<place:int,pieces:array<string>,ids:array<int>>"
+    start = F.struct(F.lit(1).alias("place"), F.array().alias("pieces"), F.array().alias("ids")).cast(kind)
+
+    def step(state, _):
+        match = F.element_at("_at", state["place"])
+        return F.when(match.isNull(), state).otherwise(F.struct(
+            (state["place"] + match["size"]).alias("place"), F.concat(state["pieces"], F.array(match["piece"])).alias("pieces"),
+            F.concat(state["ids"], F.array(match["id"].cast("int"))).alias("ids")).cast(kind))
+
+    most = F.when(F.col("_at").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.char_length("token")))
+    rows = rows.withColumn("_walk", F.aggregate(most, start, step))
+    whole = F.col("_at").isNotNull() & (F.col("_walk.place") == F.char_length("token") + 1)
+    return rows.select(
+        "token", F.when(whole, F.col("_walk.pieces")).otherwise(F.array(F.lit("[UNK]"))).alias("pieces"),
+        F.when(whole, F.col("_walk.ids")).otherwise(F.array(F.col("unknown").cast("int"))).alias("ids"))
+
+
+def encode_documents(docs: DataFrame, vocab, text: str = "text", most_bytes: int = MAX_VOCAB_BYTES) -> DataFrame:
+    """Add ``ids``: the text's piece ids. ``vocab`` is a table (token, id) or a looked-up broadcast of one.
+
+    With a broadcast vocabulary it is one pass over the text in one UDF. A larger vocabulary is joined with the
+    distinct tokens of the corpus, and those with the words of the texts.
+    """
+    lookup = vocab_lookup(vocab, most_bytes) if isinstance(vocab, DataFrame) else vocab
+    if lookup is None:
+        return _encoded_by_joins(docs, vocab, text)
+
     def make():
         table = lookup.value
         pieces = _Pieces(table, table.get("[UNK]", UNK))
@@ -214,6 +275,21 @@ def encode_documents(docs: DataFrame, lookup, text: str = "text") -> DataFrame:
     return docs.withColumn("ids", per_distinct_word(make, T.IntegerType())(words(F.col(text))))
 
 
+def _encoded_by_joins(docs: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
+    stored = save_and_reload(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    places = stored.select("_row", F.posexplode(words(F.col(text))).alias("_pos", "word"))
+    split = per_distinct_word(lambda: _basic, T.StringType())(F.array("word"))
+    distinct = save_and_reload(places.select("word").distinct().withColumn("_tokens", split), "words")
+    tokens = distinct.select(F.explode("_tokens").alias("token")).distinct()
+    pieces = save_and_reload(joined_pieces(tokens, vocab), "pieces").select("token", "ids")
+    of_word = distinct.select("word", F.posexplode("_tokens").alias("_pos", "token")).join(pieces, "token").groupBy("word").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "ids"))), lambda x: x["ids"])).alias("_ids"))
+    # Frequent words are hot keys of this join; Spark splits them, and the other side has one row a word.
+    found = places.join(of_word, "word").groupBy("_row").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))), lambda x: x["_ids"])).alias("ids"))
+    return stored.join(found, "_row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop("_row")
+
+
 def token_to_id(
     df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", skip_unknown: bool = True
 ) -> DataFrame:

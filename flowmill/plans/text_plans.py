@@ -195,17 +195,25 @@ def piece_vocab(spark, sf_dir):
   join piece_names p using (id) group by s.token
 """, "split_words", "piece_names")
 def wordpiece(spark, sf_dir):
-    lookup = tx.vocab_lookup(piece_vocab(spark, sf_dir))
     distinct = counts(spark, sf_dir).select("token")
-    return distinct.select(
-        "token", F.array_join(tx.wordpieces(F.array("token"), lookup), " ").alias("pieces")
-    )
+    split = tx.split_tokens(distinct, piece_vocab(spark, sf_dir))
+    return split.select("token", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query("wordpiece_joined", """
+  select s.token, string_agg(p.token, ' ' order by k) as pieces from (
+    select token, unnest(ids) id, generate_subscripts(ids, 1) k from split_words) s
+  join piece_names p using (id) group by s.token
+""", "split_words", "piece_names")
+def wordpiece_joined(spark, sf_dir):
+    # As for a vocabulary that fits no worker.
+    distinct = save_and_reload(counts(spark, sf_dir).select("token"), "tokens")
+    return tx.joined_pieces(distinct, piece_vocab(spark, sf_dir)).select("token", F.array_join("pieces", " ").alias("pieces"))
 
 
 @query("encode_documents", "select doc_id, array_to_string(ids, ' ') ids from encoded_docs", "encoded_docs")
 def encode_documents(spark, sf_dir):
-    lookup = tx.vocab_lookup(piece_vocab(spark, sf_dir))
-    rows = tx.encode_documents(docs(spark, sf_dir), lookup)
+    rows = tx.encode_documents(docs(spark, sf_dir), piece_vocab(spark, sf_dir))
     return rows.select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
@@ -216,7 +224,7 @@ def encode_documents(spark, sf_dir):
 """, "encoded_docs", "piece_names")
 def decode_ids(spark, sf_dir):
     vocab = piece_vocab(spark, sf_dir)
-    rows = tx.encode_documents(docs(spark, sf_dir), tx.vocab_lookup(vocab))
+    rows = tx.encode_documents(docs(spark, sf_dir), vocab)
     return tx.decode_ids(rows, vocab, "doc_id").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
