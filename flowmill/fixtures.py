@@ -11,20 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.functions.arrays import hex_fixed
+from flowmill.functions.ranking import with_rank
 
 PACKETS_SQL = """
-with sizes as (
-  select (select count(*) from {events}) n_events,
-         (select count(*) from {documents}) n_docs),
-bodies as (
-  select doc_id, encode(text, 'UTF-8') body, n_docs,
-         cast((n_events - 1 - doc_id) div n_docs + 1 as int) pieces
-  from (select d.doc_id, d.text,
-               (select n_docs from sizes) n_docs, (select n_events from sizes) n_events
-        from {documents} d)
-  where doc_id < n_events),
+with bodies as (
+  select slot, encode(text, 'UTF-8') body, n_slots,
+         cast((n_events - 1 - slot) div n_slots + 1 as int) pieces
+  from {texts}),
 cut as (
-  select doc_id, n_docs, explode(transform(sequence(0, pieces - 1), i -> struct(
+  select slot, n_slots, explode(transform(sequence(0, pieces - 1), i -> struct(
            i,
            substring(body,
                      cast((octet_length(body) * cast(i - i div 5 as bigint))
@@ -35,13 +30,13 @@ cut as (
                           div (pieces - pieces div 5) as int)) as payload))) piece
   from bodies),
 segments as (
-  select doc_id + piece.i * n_docs event_id, piece.payload from cut),
+  select slot + piece.i * n_slots segment, piece.payload from cut),
 sent as (
   select e.*, unix_micros(cast(ts as timestamp)) ts_us,
          cast(get_json_object(props, '$.k') as int) k
   from {events} e),
 named as (
-  select event_id seq, ts_us, cast(floor((day(ts) - 1) / 10.0D) as int) capture,
+  select event_id seq, event_no, ts_us, cast(floor((day(ts) - 1) / 10.0D) as int) capture,
          k % 4 svc, case when k % 4 in (0, 3) then 6 else 17 end proto,
          concat('10.', user_id div 65536, '.', user_id div 256 % 256, '.', user_id % 256) cip,
          cast(40000 + user_id % 25000 as int) cport,
@@ -53,7 +48,7 @@ select capture, seq, ts_us, ts_us / 1000000.0D t, svc, concat('svc', svc) label,
        if(up, cip, sip) src_ip, if(up, cport, sport) src_port,
        if(up, sip, cip) dst_ip, if(up, sport, cport) dst_port,
        cast(octet_length(payload) as int) len, payload
-from named join segments on seq = event_id
+from named join segments on event_no = segment
 """
 
 
@@ -61,14 +56,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _numbered(rows: DataFrame, ident: str, number: str) -> tuple[DataFrame, int]:
+    """The rows with ``number``, the 0-based rank of their id, and how many there are.
+
+    Ids that already run from 0 without gaps are their ranks.
+    """
+    n, ids, low, high = rows.agg(
+        F.count(F.lit(1)), F.count_distinct(ident), F.min(ident), F.max(ident)).first()
+    if n == ids and (n == 0 or (low, high) == (0, n - 1)):
+        return rows.withColumn(number, F.col(ident).cast("bigint")), n
+    order = [F.col(ident), F.xxhash64(*rows.columns)]
+    return with_rank(rows, [], order, F.coalesce(F.shiftright(F.col(ident), 10), F.lit(-(1 << 62))), rank=number, once=True), n
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded packets: capture, seq, ts_us, t, svc, label, proto, endpoints, len, payload."""
+    """Decoded packets: capture, seq, ts_us, t, svc, label, proto, endpoints, len, payload.
+
+    Documents and events meet by the ranks of their ids. With more documents than events, a packet
+    carries the texts of several.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(
-        PACKETS_SQL.format(events="{events}", documents="{documents}"),
-        events=table(spark, sf_dir, "events"),
-        documents=table(spark, sf_dir, "documents"),
-    )
+    events, n_events = _numbered(table(spark, sf_dir, "events"), "event_id", "event_no")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts, n_docs = _numbered(table(spark, sf_dir, "documents").select("doc_id", text), "doc_id", "slot")
+    n_slots = max(1, min(n_docs, n_events))
+    if n_docs > n_events:
+        listed = F.sort_array(F.collect_list(F.struct("slot", "text")))
+        texts = texts.groupBy(F.pmod("slot", F.lit(n_slots)).alias("at")).agg(
+            F.concat_ws("", F.transform(listed, lambda x: x["text"])).alias("text")).withColumnRenamed("at", "slot")
+    texts = texts.select("slot", "text", F.lit(n_slots).alias("n_slots"), F.lit(n_events).alias("n_events"))
+    return spark.sql(PACKETS_SQL.format(events="{events}", texts="{texts}"), events=events, texts=texts)
 
 
 def _ip_hex(ip):

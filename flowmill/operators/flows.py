@@ -233,6 +233,15 @@ def size_chunks(tokens: DataFrame, per_chunk: int = 65536) -> DataFrame:
     )
 
 
+def files_per_label(flows: DataFrame) -> DataFrame:
+    """(label, files): flow files that an export writes for each label, most first in any display.
+
+    ``flows`` has a row per kept flow, with ``label`` and ``file_name``; flows of one file count once.
+    """
+    files = flows.select("label", "capture", "file_name").distinct()
+    return files.groupBy("label").agg(F.count(F.lit(1)).alias("files"))
+
+
 def split_report(packets: DataFrame, min_payload: int = MIN_PAYLOAD_PACKETS) -> DataFrame:
     """Per capture: flows found and flows kept."""
     flows = flow_table(packets)

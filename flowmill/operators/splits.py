@@ -6,6 +6,8 @@ A class may hold any share of the samples; every per-class choice goes through
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,19 +117,29 @@ def external_test(scanned: DataFrame, processed: DataFrame, labels: DataFrame) -
     """Label a test set by a given map; unknown labels are an error, not skipped.
 
     ``scanned`` has a row per input flow, ``processed`` a row per flow that gave
-    a sample.
+    a sample. Labels of the map without a test flow give a warning. Each side is read once, for its labels.
     """
     check_label_map(labels)
-    if scanned.isEmpty():
+    known = labels.select("label_name", F.lit(True).alias("known"))
+    seen = scanned.groupBy("label_name").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each label; only those of one side come to the driver.
+    both = known.join(seen, F.col("known") & known["label_name"].eqNullSafe(seen["label_name"]), "full_outer").select(
+        F.when(F.col("known"), known["label_name"]).otherwise(seen["label_name"]).alias("label_name"), "known", "n")
+    sides = both.agg(
+        F.count("n").alias("scanned"), F.collect_list(F.when(F.col("known").isNull(), F.struct("label_name"))).alias("unknown"),
+        F.collect_list(F.when(F.col("n").isNull(), F.col("label_name"))).alias("missing")).first()
+    if not sides.scanned:
         raise ValueError("the external test set has no captures")
-    unknown = label_difference(scanned, labels).collect()  # labels, not samples
-    if unknown:
-        raise ValueError(f"labels absent from the map: {sorted(r.label_name for r in unknown)}")
+    if sides.unknown:
+        raise ValueError(f"labels absent from the map: {sorted(str(r.label_name) for r in sides.unknown)}")
+    if sides.missing:
+        warnings.warn(f"labels without a test flow: {sorted(sides.missing)}", stacklevel=2)
     if processed.isEmpty():
         raise ValueError("no capture of the external test set could be processed")
     return attach_label_id(processed, labels)
 
 
+
 def extraction_report(scanned: DataFrame, processed: DataFrame) -> DataFrame:
     """Per label: scanned, processed and failed."""
     seen = scanned.groupBy("label_name").agg(F.count(F.lit(1)).alias("scanned"))

@@ -57,6 +57,14 @@ def flow_sequences(spark, sf_dir):
     )
 
 
+@query("files_per_label", """
+  select label, count(distinct (capture, file_name)) files from flow_list where n_payload >= 5 group by label
+""", "flow_list")
+def files_per_label(spark, sf_dir):
+    flows = fl.flow_table(kept(spark, sf_dir)).filter(F.col("n_payload") >= fl.MIN_PAYLOAD_PACKETS)
+    return fl.files_per_label(flows)
+
+
 @query("split_report", """
   select capture, cast(count(*) as bigint) flows_found,
          cast(count(*) filter (n_payload >= 5) as bigint) flows_valid

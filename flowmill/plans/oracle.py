@@ -53,13 +53,15 @@ define("packets", """
                   cast(2 * (nb * (i + 1 - (i + 1) // 5) // c - nb * (i - i // 5) // c) as bigint)) payload_hex
     from (
       select e.*, cast(json_extract_string(e.props, '$.k') as int) k, b.body, b.nb,
-             e.event_id // b.n_docs as i, b.pieces - b.pieces // 5 as c
-      from events e join (
-        select doc_id, hex(encode(text)) body, octet_length(encode(text)) nb,
-               (select count(*) from documents) n_docs,
-               ((select count(*) from events) - 1 - doc_id) // (select count(*) from documents) + 1 pieces
-        from documents) b
-      on b.doc_id = e.event_id % (select count(*) from documents)))
+             e.event_no // b.n_slots as i, b.pieces - b.pieces // 5 as c
+      from (select *, row_number() over (order by event_id) - 1 event_no from events) e join (
+        select slot, hex(encode(text)) body, octet_length(encode(text)) nb, n_slots,
+               ((select count(*) from events) - 1 - slot) // n_slots + 1 pieces
+        from (select doc_no % n_slots slot, string_agg(text, '' order by doc_no) as text, any_value(n_slots) n_slots
+              from (select coalesce(text, '') as text, row_number() over (order by doc_id) - 1 doc_no,
+                           least((select count(*) from documents), (select count(*) from events)) n_slots from documents)
+              group by 1)) b
+      on b.slot = e.event_no % b.n_slots))
 """)
 define("kept", "select * from packets where not (proto = 17 and (src_port = 53 or dst_port = 53))", "packets")
 define("keyed", """

@@ -381,3 +381,19 @@ def test_pieces_do_not_hang_on_the_vocabulary_being_broadcast(spark):
     near, far = (sorted((r.doc_id, r.text or "", r.ids) for r in tx.encode_documents(docs, vocab, most_bytes=most).collect())
                  for most in (1 << 30, 0))
     assert far == near and tx.vocab_lookup(vocab, 10) is None
+
+
+def test_labels_without_a_test_flow_are_named(spark):
+    labels = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "label_name string, label int")
+    rows = spark.createDataFrame([("k", "b"), ("l", "b")], "flow_key string, label_name string")
+    with pytest.warns(UserWarning, match=r"\['a', 'c'\]"):
+        found = sp.external_test(rows, rows, labels)
+    assert sorted((r.flow_key, r.label) for r in found.collect()) == [("k", 1), ("l", 1)]
+    with pytest.raises(ValueError, match="no captures"):
+        sp.external_test(rows.limit(0), rows, labels)
+
+
+def test_split_without_a_cap_takes_all(spark):
+    df = samples(spark, {"a": 700, "b": 37})
+    rows = sp.stratified_split(df, cap=None).collect()
+    assert len(rows) == 737 and sum(r.label_name == "a" and r.split == "train" for r in rows) == 560

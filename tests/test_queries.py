@@ -6,8 +6,10 @@ import pytest
 import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
-# The smallest tables leave no sample to test on, which external_test must reject.
-LARGER = {"external_test": "/root/testdata/sf0.01"}
+# The smallest tables leave no sample to test on, which external_test must reject, and no class that is capped.
+LARGER = dict.fromkeys((
+    "external_test label_counts label_ids attach_label_id cap_per_class stratified_split union_parts split_with_test_dir"
+    " unseen_test_labels label_difference few_shot few_shot_report split_report files_per_label").split(), "/root/testdata/sf0.01")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings"
     " pages benchmark labels conversations"
