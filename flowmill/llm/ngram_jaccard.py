@@ -42,7 +42,8 @@ from flowmill.llm.words import mix, slices
 from flowmill.session import save_and_reload
 
 _U = np.uint64
-GROUPS = 64  # coordinates of a point
+GROUPS, MOST_GROUPS = 64, 4096  # coordinates of a point, a power of two
+GROUP_SHINGLES = 8  # in a coordinate on average, up to MOST_GROUPS of them
 STRIPE = 256  # most members searched together
 LEAF = 16  # entries of a tree node
 NEAREST = 2  # partners a member asks for in the first rounds
@@ -175,20 +176,47 @@ def _class_of(shingles: np.ndarray) -> np.uint64:
     return mix(mix(shingles).sum(dtype=_U) ^ size)[0]
 
 
+def _groups(size: int) -> int:
+    """Coordinates for a set of this size. Unrelated large sets would agree in every few coordinates."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and groups * GROUP_SHINGLES < size:
+        groups *= 2
+    return groups
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    """A set's point, in as few bytes as its largest coordinate needs."""
+    counts = np.diff(_cuts(shingles, _groups(len(shingles))))
+    top = int(counts.max())
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def _points(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points as rows of one matrix, all in the coordinates of the smallest set: ranges are halves of ranges."""
+    groups = [_groups(size) for size in sizes.tolist()]
+    least = min(groups)
+    if least == max(groups) and len(packed[0]) == least and len({len(p) for p in packed}) == 1:
+        return np.frombuffer(b"".join(packed), dtype="u1").reshape(-1, least)
+    out = np.empty((len(packed), least), dtype=np.uint32)
+    for i, (p, g) in enumerate(zip(packed, groups)):
+        out[i] = np.frombuffer(p, dtype=f"<u{len(p) // g}").reshape(least, -1).sum(1)
+    return out
+
+
 def _featured(rule: Rule):
     def run(batches):
         for batch in batches:
             ids, rows = batch.column(0), batch.num_rows
             sizes, classes = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=_U)
-            counts = np.zeros((rows, GROUPS), dtype="<i4")
+            points = [b""] * rows
             for i, own in enumerate(shingle_sets(batch.column(1), rule.width)):
                 sizes[i] = len(own)
                 if len(own):
                     classes[i] = _class_of(own)
-                    counts[i] = np.diff(_cuts(own, GROUPS))
+                    points[i] = _packed(own)
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array(sizes), pa.array(_long(classes)),
-                pa.array([c.tobytes() for c in counts], type=pa.binary())], names=["id", "size", "hash", "counts"])
+                pa.array(points, type=pa.binary())], names=["id", "size", "hash", "counts"])
 
     return run
 
@@ -236,9 +264,10 @@ class Tree:
         for level in range(top, -1, -1):
             high, low = self.levels[level]
             kept_q, kept_n, kept_b = [], [], []
-            for at in range(0, len(query), 1 << 15):
-                q, e = query[at : at + (1 << 15)], node[at : at + (1 << 15)]
-                bound = np.minimum(points[q], high[e]).sum(1)
+            step = max(1, (1 << 21) // points.shape[1])
+            for at in range(0, len(query), step):
+                q, e = query[at : at + step], node[at : at + step]
+                bound = np.minimum(points[q], high[e]).sum(1, dtype=np.int64)
                 # The smallest set below a node asks least of the overlap.
                 other = np.maximum(low[e], -(-sizes[q] * rule.percent // 100))
                 ok = rule.linked(np.minimum(bound, sizes[q]), sizes[q], other)
@@ -258,7 +287,7 @@ def _stripe_pairs(rule: Rule, nearest: int | None):
     def search(points, sizes, classes, comps, side):
         if len(sizes) == 2:
             q, e = np.array([0]), np.array([1])
-            bound = np.minimum(points[:1], points[1:]).sum(1)
+            bound = np.minimum(points[:1], points[1:]).sum(1, dtype=np.int64)
             ok = rule.linked(np.minimum(bound, sizes.min()), sizes[:1], sizes[1:])
             q, e, bound = q[ok], e[ok], bound[ok]
         else:
@@ -302,8 +331,7 @@ def _stripe_pairs(rule: Rule, nearest: int | None):
             classes = table.column("class").to_numpy()
             comps, sizes = table.column("comp").to_numpy(), table.column("size").to_numpy()
             side = table.column("side").to_numpy()
-            flat = b"".join(table.column("counts").to_pylist())
-            points = np.frombuffer(flat, dtype="<i4").reshape(-1, GROUPS)
+            packed = table.column("counts").to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(stripe)) + 1, [len(stripe)]])
             found = []
             for low, high in zip(cuts[:-1], cuts[1:]):
@@ -311,7 +339,7 @@ def _stripe_pairs(rule: Rule, nearest: int | None):
                     continue
                 own = slice(low, high)
                 split = side[own] if side[low] >= 0 else None
-                pairs = search(points[own], sizes[own], classes[own], comps[own], split)
+                pairs = search(_points(packed[own], sizes[own]), sizes[own], classes[own], comps[own], split)
                 if pairs.shape[1]:
                     found.append(pairs)
             if found:

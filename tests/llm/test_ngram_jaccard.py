@@ -115,3 +115,33 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7} | {i: 100 for i in range(100, 161)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_long_sets(documents, spark):
+    """Sets of 3,000 to 20,000 shingles, near copies around the threshold, against brute force."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for n in (3000, 3200, 8000, 20_000):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        texts.append(base)
+        for share in (0.01, 0.03, 0.06):
+            copy = list(base)
+            for at in rng.choice(n, int(n * share), replace=False):
+                copy[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(copy)
+        texts.append([f"w{x}" for x in rng.integers(0, 50_000, n)])  # unrelated, of the same size
+    texts.append(["a"] * 70_000)
+    rows = [(i * 3, " ".join(t)) for i, t in enumerate(texts)]
+    for width, percent in ((5, 80), (3, 90)):
+        sets = [{tuple(t[i : i + width]) for i in range(len(t) - width + 1)} for t in texts]
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root = [new if r == old else r for r in root]
+        got = nj.shingle_components(documents(rows), width=width, percent=percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {
+            i * 3: (len(s), root[i] * 3) for i, s in enumerate(sets)}
+        assert len(set(root)) < len(root)
