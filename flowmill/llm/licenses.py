@@ -173,7 +173,11 @@ def anchors(weighed: DataFrame, least: float) -> list[str]:
 
 def header_runs(text: Column, terms: list[str]) -> Column:
     """The distinct runs of lines, each from a line with one of the terms."""
-    near = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, terms))})(?![\p{{L}}\p{{N}}])"
+    after: dict[str, list[str]] = {}  # by first letter, so that few alternatives are tried at a word
+    for term in terms:
+        after.setdefault(term[0], []).append(re.escape(term[1:]))
+    words = "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in after.items())
+    near = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, COMMENT, ""), r"\s+", " "))
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -186,21 +190,21 @@ def header_runs(text: Column, terms: list[str]) -> Column:
 
 
 def run_licences(runs: DataFrame, known: DataFrame, idf: DataFrame, *, least: float) -> DataFrame:
-    """(run, licence, cosine) of distinct runs that reach the threshold; ``known`` is the weighed templates."""
-    counted = runs.select("run", F.explode(_terms(F.col("run"))).alias("term")).groupBy("run", "term").agg(
+    """(key, licence, cosine) of distinct runs (key, run) that reach the threshold; ``known`` is the weighed templates."""
+    counted = runs.select("key", F.explode(_terms(F.col("run"))).alias("term")).groupBy("key", "term").agg(
         F.count(F.lit(1)).alias("n"))
     counted = save_and_reload(counted, "run-terms")
     met = idf.join(counted.select("term").distinct(), "term")
-    own = _weighed(counted, small_enough(save_and_reload(met, "idf"), BROADCAST_ROWS), "run")
+    own = _weighed(counted, small_enough(save_and_reload(met, "idf"), BROADCAST_ROWS), "key")
     # The templates are a fixed list of some thousand terms.
-    theirs = known.select("template", "wording", "must", "term", F.col("w").alias("v"), F.col("norm").alias("their_norm"))
-    dots = own.join(F.broadcast(theirs), "term").groupBy("run", "norm", "template", "wording", "must", "their_norm").agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"))
+    theirs = known.select("template", "wording", F.size("must").alias("musts"), F.array_contains("must", F.col("term")).alias("must"),
+                          "term", F.col("w").alias("v"), F.col("norm").alias("their_norm"))
+    dots = own.join(F.broadcast(theirs), "term").groupBy("key", "norm", "template", "wording", "musts", "their_norm").agg(
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.count_if("must").alias("there"))
     cosine = F.round(F.col("dot") / F.col("norm") / F.col("their_norm"), 9)
-    near = dots.withColumn("cosine", cosine).filter(F.col("cosine") >= least)
-    near = near.filter(F.size(F.array_except("must", _terms(F.col("run")))) == 0)
-    best = near.groupBy("run").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("template").alias("licence"))).alias("best"))
-    return best.select("run", "best.licence", (-F.col("best.less")).alias("cosine"))
+    near = dots.withColumn("cosine", cosine).filter((F.col("cosine") >= least) & (F.col("there") == F.col("musts")))
+    best = near.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("template").alias("licence"))).alias("best"))
+    return best.select("key", "best.licence", (-F.col("best.less")).alias("cosine"))
 
 
 def scan_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "text", templates=TEMPLATES,
@@ -223,10 +227,10 @@ def scan_licences(files: DataFrame, *, path_col: str = "path", text_col: str = "
         *keep, path.alias("path"), parts.alias("_parts"), F.array_union(runs, whole).alias("_runs"),
         F.monotonically_increasing_id().alias("_row"))
     rows = save_and_reload(rows, "files")
-    spoken = rows.select("_row", F.explode("_runs").alias("run"))
-    found = run_licences(spoken.select("run").distinct(), known, idf, least=least)
+    spoken = rows.select("_row", F.explode("_runs").alias("run")).withColumn("key", F.md5("run"))
+    found = run_licences(spoken.select("key", "run").dropDuplicates(["key"]), known, idf, least=least)
     found = small_enough(save_and_reload(found, "found"), BROADCAST_ROWS)
-    best = spoken.join(found, "run").groupBy("_row").agg(
+    best = spoken.select("_row", "key").join(found, "key").groupBy("_row").agg(
         F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
     own = rows.drop("_runs").join(best, "_row", "left").select(
         *keep, "path", "_row", "_parts", F.col("best.licence").alias("own_licence"), (-F.col("best.less")).alias("cosine"))
