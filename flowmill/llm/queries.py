@@ -81,7 +81,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "expected_grade", "tail_probability", F.col("accepted").alias("kept"))
 
 
-@_query("op6_warc_bundles")
+@_query("op6_warc_bundles", """
+with sized as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select payload_digest, min(page_id) as first from sized where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, if(page_id <> first, 'revisit', 'response') as record_type,
+       case when page_id <> first then first end as refers_to
+from sized left join firsts using (payload_digest)
+""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from the archives written of all pages."""
     path = shared_folder(spark, "bundles")

@@ -15,8 +15,8 @@ A task streams the frames of its bundles and renames each file when it ends, so
 leaves one whole bundle.
 
 Defined cases: null payloads are empty; a null id is written as a record of its own that
-refers to nothing and is never referred to; repeated rows are records of their own, all with the
-same id: one of them is the response. No rows give no bundles.
+refers to nothing and is never referred to; repeated rows are records of their own: rows of the
+smallest id of a payload are all responses, as a revisit refers to another id. No rows give no bundles.
 """
 
 from __future__ import annotations
