@@ -50,7 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not again.isEmpty():  # rows of one id are one document
         again = again.select("doc_id")
-        one = kept.join(again, "doc_id").dropDuplicates(["doc_id"])
+        rows = kept.join(again, "doc_id")
+        first = F.struct("text", "lang", "source")  # the least text, so that reruns agree
+        one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), first).alias("_row")).select("_row.*")
         kept = kept.join(again, "doc_id", "left_anti").unionByName(one)
     return kept.select(*docs.columns)
 
