@@ -31,6 +31,15 @@ def test_rejected_copies_go_by_text(spark, documents):
     assert sorted(str(r.doc_id) for r in one) == ["1", "None"]
 
 
+def test_texts_of_one_id_leave_the_least(spark, documents):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    docs = documents([(4, two), (4, one), (4, one, "fr"), (9, three)])
+    for parts in (1, 3):
+        kept = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text, r.lang) for r in kept.collect()) == [(4, one, "en"), (9, three, "en")]
+
+
 def test_empty_tables(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents([]), SF).count() == 0
