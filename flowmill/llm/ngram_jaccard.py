@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles. Shingles are hashed into gr
 group counts of a set are a point. Two sets overlap by at most the sum of the smaller
 coordinates, so an R-tree over points, whose nodes keep the largest coordinates and the
 smallest set below them, finds all partners that can still reach the similarity. Survivors
-are verified on their shingles.
+are screened with a finer point, of about one coordinate for two shingles, and what is left is
+verified on the shingles themselves.
 
 Where trees are built. One tree over all points would be one task, and a search of all leaves
 quadratic, so the root's children are keyed by content. Two sets that differ in at most d
@@ -39,11 +40,12 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.graph import components, small_enough
 from flowmill.llm.words import mix, slices
-from flowmill.session import save_and_reload
+from flowmill.session import drop_saved, save_and_reload
 
 _U = np.uint64
 GROUPS, MOST_GROUPS = 64, 4096  # coordinates of a point, a power of two
 GROUP_SHINGLES = 8  # in a coordinate on average, up to MOST_GROUPS of them
+FINE = 4  # coordinates of the point that screens pairs, for each one in the trees
 STRIPE = 256  # most members searched together
 LEAF = 16  # entries of a tree node
 NEAREST = 2  # partners a member asks for in the first rounds
@@ -184,16 +186,16 @@ def _groups(size: int) -> int:
     return groups
 
 
-def _packed(shingles: np.ndarray) -> bytes:
+def _packed(shingles: np.ndarray, finer: int = 1) -> bytes:
     """A set's point, in as few bytes as its largest coordinate needs."""
-    counts = np.diff(_cuts(shingles, _groups(len(shingles))))
+    counts = np.diff(_cuts(shingles, _groups(len(shingles)) * finer))
     top = int(counts.max())
     return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
-def _points(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def _points(packed: list[bytes], sizes: np.ndarray, finer: int = 1) -> np.ndarray:
     """Points as rows of one matrix, all in the coordinates of the smallest set: ranges are halves of ranges."""
-    groups = [_groups(size) for size in sizes.tolist()]
+    groups = [_groups(size) * finer for size in sizes.tolist()]
     least = min(groups)
     if least == max(groups) and len(packed[0]) == least and len({len(p) for p in packed}) == 1:
         return np.frombuffer(b"".join(packed), dtype="u1").reshape(-1, least)
@@ -373,12 +375,44 @@ def _verified(rule: Rule):
     return run
 
 
+def _screened(rule: Rule):
+    """Pairs whose finer points still allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            size_a, size_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            ok = []
+            for a, b, m, n in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), size_a, size_b):
+                points = _points([a, b], np.array([m, n]), FINE)
+                bound = int(np.minimum(points[0], points[1]).sum(dtype=np.int64))
+                ok.append(bool(rule.linked(min(bound, m, n), m, n)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ok, type=pa.bool_())], names=["a", "b", "open"])
+
+    return run
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, linked) for pairs of classes; ``texts`` holds (class, text)."""
-    left = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(
+    """(a, b, linked), stored, for pairs of classes; ``texts`` holds (class, size, fine, text).
+
+    Only texts of pairs that pass the screen of finer points are moved.
+    """
+    def of(end):
+        return texts.select(F.col("class").alias(end), F.col("size").alias(f"size_{end}"), F.col("fine").alias(f"fine_{end}"))
+
+    pointed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "fine_a", "size_b", "fine_b")
+    screened = save_and_reload(pointed.mapInArrow(_screened(rule), "a bigint, b bigint, open boolean"), "screened")
+    open_ = screened.filter("open").select("a", "b")
+    ends = save_and_reload(open_.select("a").union(open_.select("b")).distinct().withColumnRenamed("a", "class"), "ends")
+    own = texts.select("class", "text").join(small_enough(ends, BROADCAST_ROWS), "class", "left_semi")
+    left = open_.join(own.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(own.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    verified = both.select("a", "b", "text_a", "text_b").mapInArrow(
         _verified(rule), "a bigint, b bigint, linked boolean")
+    tested = save_and_reload(verified.union(
+        screened.filter("not open").select("a", "b", F.lit(False).alias("linked"))), "tested")
+    drop_saved(screened, ends)
+    return tested
 
 
 def shingle_components(
@@ -397,15 +431,19 @@ def shingle_components(
     chosen = small_enough(points.select("id", "hash", "class"), BROADCAST_ROWS)
     keyed = save_and_reload(wide.join(chosen, "id").select("hash", "class", "text").mapInArrow(
         _keyed(rule), "class bigint, keys array<bigint>"), "keyed")
-    blocks = save_and_reload(_blocks(keyed), "blocks")
+    pairs, blocks = _blocks(keyed)
+    drop_saved(keyed)
     members = save_and_reload(blocks.join(points.select("class", "size", "counts"), "class"), "members")
+    own = members.withColumn("comp", F.col("class"))
+    # The pair of a key of two is known; larger keys have a tree each.
+    first = save_and_reload(
+        pairs.union(_candidates(_striped(own), rule, NEAREST)).distinct(), "candidates")
     # Texts are only needed of classes that share a key with another.
-    wanted = small_enough(points.select("id", "hash", "class").join(members.select("class").distinct(), "class"), BROADCAST_ROWS)
+    ends = members.select("class").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = small_enough(save_and_reload(points.join(ends, "class").select("id", "hash", "class"), "wanted"), BROADCAST_ROWS)
     texts = save_and_reload(_class_texts(wide.join(wanted, "id"), rule), "texts")
-    own = members.withColumn("comp", F.col("class"))
 
-    tested = save_and_reload(
-        _verify(_candidates(_striped(own), rule, NEAREST), texts, rule), "tested")
+    tested = _verify(first, texts, rule)
     comps = components(tested.filter("linked"))
     for delegates in (DELEGATES, None):
         open_ = _open_members(members, comps)
@@ -415,15 +453,15 @@ def shingle_components(
             pairs = _candidates(_delegates(open_, delegates), rule, NEAREST)
         else:
             pairs = _candidates(_crossed(open_), rule, None)
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = save_and_reload(_verify(pairs, texts, rule), "tested")
-        tested = tested.union(more)
+        pairs = save_and_reload(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+        tested = tested.union(_verify(pairs, texts, rule))
         comps = components(tested.filter("linked"))
 
     # From classes to rows: a class's copies share its component.
     rooted = points.join(comps.withColumnRenamed("node", "class"), "class", "left").select(
         "hash", "id", F.coalesce("component", "class").alias("root"))
     rooted = save_and_reload(rooted, "rooted")
+    drop_saved(blocks, members, texts, first)
     least = rooted.groupBy("root").agg(F.min("id").alias("least"))
     of_hash = _joined_by_ids(named, rooted.select("hash", "root").join(least, "root").select("hash", "least"))
     out = features.select("id", "size", F.when(F.col("size") > 0, F.col("hash")).alias("hash"))
@@ -444,38 +482,44 @@ def _joined_by_ids(named: DataFrame, of_hash: DataFrame) -> DataFrame:
     return of_hash.join(merged, "least", "left").select("hash", F.coalesce("component", "least").alias("least"))
 
 
-def _blocks(keyed: DataFrame) -> DataFrame:
-    """(block, members, class): the classes below each key; keys with equal members are one block.
+def _blocks(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of keys of two classes, and (block, members, class) of larger keys; both stored.
 
-    A key of two classes is their pair, known from the sums alone; only keys of more
-    are joined with their members.
+    A key's least and largest class tell its pair from the sums alone; only larger keys
+    are joined with their members. Keys with equal members are one block.
     """
     each = keyed.select(F.explode("keys").alias("key"), "class")
     shared = each.groupBy("key").agg(
         F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = save_and_reload(shared.filter("lo <> hi"), "shared")
-    pairs = shared.filter("n = 2").select("lo", "hi").distinct()
-    pairs = pairs.select(F.xxhash64("lo", "hi").alias("block"), F.lit(2).cast("bigint").alias("members"),
-                         F.explode(F.array("lo", "hi")).alias("class"))
+    pairs = save_and_reload(
+        shared.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "pairs")
     many = small_enough(shared.filter("n > 2").select("key"), BROADCAST_ROWS)
     below = save_and_reload(each.join(many, "key").distinct(), "below")
     print_ = below.groupBy("key").agg(
         F.bit_xor(F.xxhash64("class")).alias("block"), F.count(F.lit(1)).alias("members"))
-    return pairs.unionByName(below.join(print_, "key").select("block", "members", "class").distinct())
+    blocks = save_and_reload(below.join(print_, "key").select("block", "members", "class").distinct(), "blocks")
+    drop_saved(shared, below)
+    return pairs, blocks
 
 
 def _class_texts(named_texts: DataFrame, rule: Rule) -> DataFrame:
-    """One text per class. An id may have several texts: take the one of the class."""
+    """(class, size, fine, text): one text per class. An id may have several texts: take the one of the class."""
 
     def run(batches):
         for batch in batches:
-            own = np.array([_class_of(s) if len(s) else _U(0) for s in shingle_sets(batch.column(2), rule.width)],
-                           dtype=_U)
-            ok = _long(own) == batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["class", "text"]).filter(
-                pa.array(ok))
+            wanted = batch.column(0).to_numpy()
+            kept, sizes, fine = [], [], []
+            for i, own in enumerate(shingle_sets(batch.column(2), rule.width)):
+                if len(own) and _class_of(own).view(np.int64) == wanted[i]:
+                    kept.append(i), sizes.append(len(own)), fine.append(_packed(own, FINE))
+            rows = pa.array(kept, type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(rows), pa.array(sizes, type=pa.int64()), pa.array(fine, type=pa.binary()),
+                 batch.column(2).take(rows)], names=["class", "size", "fine", "text"])
 
-    checked = named_texts.select("hash", "class", "text").mapInArrow(run, "class bigint, text string")
+    checked = named_texts.select("hash", "class", "text").mapInArrow(
+        run, "class bigint, size bigint, fine binary, text string")
     return checked.dropDuplicates(["class"])
 
 
