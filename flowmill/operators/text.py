@@ -144,7 +144,7 @@ class _Pieces:
 
 
 def per_distinct_word(make: Callable[[], Callable[[str], list]], element: T.DataType):
-    """Arrow UDF array<string> -> array<element> replacing each word by a list.
+    """Arrow UDF array -> array<element> replacing each word, id or null in the array by a list.
 
     ``make()`` is called once per task; its function runs once per distinct word
     of a batch, with the results of frequent words kept between batches.
@@ -156,7 +156,7 @@ def per_distinct_word(make: Callable[[], Callable[[str], list]], element: T.Data
         fn = lru_cache(maxsize=CACHED_WORDS)(make())
         for arr in batches:
             counts = np.asarray(arr.value_lengths().fill_null(0))
-            coded = arr.flatten().dictionary_encode()
+            coded = arr.flatten().dictionary_encode(null_encoding="encode")
             lists = pa.array([fn(w) for w in coded.dictionary.to_pylist()], pa.list_(arrow_type))
             spread = lists.take(coded.indices)
             reach = np.concatenate([[0], np.cumsum(np.asarray(spread.value_lengths()))])
@@ -291,28 +291,67 @@ def _encoded_by_joins(docs: DataFrame, vocab: DataFrame, text: str) -> DataFrame
 
 
 def token_to_id(
-    df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", skip_unknown: bool = True
+    df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens", skip_unknown: bool = True,
+    most_bytes: int = MAX_VOCAB_BYTES,
 ) -> DataFrame:
-    """Per ``key`` the ids of its tokens, by a join with the vocabulary.
+    """(key, ids): for each row the ids of its tokens, in order.
 
-    Unknown tokens are skipped or become [UNK]. Spark broadcasts the vocabulary
-    when its size allows and else splits hot tokens as skewed partitions.
+    Unknown and null tokens are skipped or become [UNK]; no tokens or null give no ids. A token that the
+    vocabulary holds twice has its largest id. With a vocabulary of at most ``most_bytes`` this is one pass without a
+    shuffle; the tokens of a larger one are found by a salted join.
     """
-    rows = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    found = rows.join(vocab.select("token", "id"), "token", "left")
-    value = F.col("id") if skip_unknown else F.when(
-        F.col("_pos").isNotNull(), F.coalesce("id", F.lit(UNK))
-    )
-    pairs = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct("_pos", value.alias("id")))))
-    return found.groupBy(key).agg(F.transform(pairs, lambda p: p["id"].cast("int")).alias("ids"))
+    known = vocab.groupBy("token").agg(F.max("id").alias("id"))
+    lookup = vocab_lookup(known, most_bytes)
+    unknown = [] if skip_unknown else [UNK]
+    if lookup is None:
+        listed = F.when(F.col("value").isNotNull(), F.array(F.col("value").cast("int"))).otherwise(
+            F.array(*map(F.lit, unknown)).cast("array<int>"))
+        return _found_by_join(df, key, tokens, known.select(F.col("token").alias("entry"), F.col("id").alias("value")), listed, "ids")
 
+    def make():
+        table = lookup.value
+        return lambda token: [table[token]] if token in table else unknown
+
+    return df.select(key, per_distinct_word(make, T.IntegerType())(F.col(tokens)).alias("ids"))
+
+
+def decode_ids(
+    df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids", most_bytes: int = MAX_VOCAB_BYTES
+) -> DataFrame:
+    """(key, tokens): for each row the tokens of its ids, in order.
 
-def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """Per ``key`` the tokens of its ids, in order; none for no ids, null for an id the vocabulary lacks."""
-    rows = df.select(key, F.posexplode_outer(ids).alias("_pos", "id"))
-    found = rows.join(vocab.select("id", "token"), "id", "left")
-    pairs = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "token"))))
-    return found.groupBy(key).agg(F.transform(pairs, lambda p: p["token"]).alias("tokens"))
+    No ids or null give no tokens; an id that the vocabulary lacks gives a null. An id held twice is the
+    least of its tokens. Vocabularies of any size, as in :func:`token_to_id`.
+    """
+    known = vocab.groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("token").alias("token"))
+    lookup = vocab_lookup(known, most_bytes)
+    if lookup is None:
+        entries = known.select(F.col("id").alias("entry"), F.col("token").alias("value"))
+        return _found_by_join(df, key, ids, entries, F.array("value"), "tokens")
+
+    def make():
+        table = {ident: token for token, ident in lookup.value.items()}
+        return lambda ident: [table.get(ident)]
+
+    return df.select(key, per_distinct_word(make, T.StringType())(F.col(ids)).alias("tokens"))
+
+
+def _found_by_join(
+    df: DataFrame, key: str, items: str, entries: DataFrame, listed: Column, name: str
+) -> DataFrame:
+    """(key, name): for each row the lists ``listed`` of its items in a row, by a join with (entry, value)."""
+    stored = save_and_reload(df.select(
+        F.col(key).alias("_key"), F.col(items).alias("_items"), F.monotonically_increasing_id().alias("_row")), "items")
+    places = stored.select("_row", F.posexplode("_items").alias("_pos", "entry"))
+    # One item may be a third of all: the vocabulary is dealt out once for each salt.
+    places = places.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(PIECE_SALTS)).cast("int"))
+    dealt = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PIECE_SALTS - 1))))
+    found = places.join(dealt, ["entry", "_salt"], "left").select("_row", "_pos", listed.alias("_list"))
+    rows = found.groupBy("_row").agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("_pos", "_list"))), lambda p: p["_list"])).alias("_lists"))
+    kind = rows.schema["_lists"].dataType
+    return stored.join(rows, "_row", "left").select(
+        F.col("_key").alias(key), F.coalesce("_lists", F.array().cast(kind)).alias(name))
 
 
 def token_counts(docs: DataFrame, ident: str, tokens: str = "tokens") -> DataFrame:

@@ -268,6 +268,29 @@ def test_wordpiece(spark):
     assert back == {0: "un ##aff ##able , runn ##ing [UNK] [UNK]".split(), 1: [], 2: ["##aff", None]}
 
 
+@pytest.mark.parametrize("most_bytes", [tx.MAX_VOCAB_BYTES, 10])
+def test_ids_and_back(spark, most_bytes):
+    vocab = spark.createDataFrame([("a", 5), ("b", 6), ("b", 9), ("c", 7), ("z", 7)], "token string, id int")
+    lists = [["a", "x", "b"], ["c", None, "a", "a"], [], None, ["x"], ["b"] * 50]
+    rows = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(lists)], "k int, tokens array<string>, id int").repartition(3)
+    table = {"a": 5, "b": 9, "c": 7, "z": 7}
+    for skip in (True, False):
+        got = tx.token_to_id(rows, vocab, "k", skip_unknown=skip, most_bytes=most_bytes).collect()
+        want = [(i // 2, [table.get(w, 1) for w in t or [] if w in table or not skip]) for i, t in enumerate(lists)]
+        assert sorted((r.k, list(r.ids)) for r in got) == sorted(want)
+    ids = [[5, 99, 7], [None, 9], [], None]
+    coded = spark.createDataFrame(list(enumerate(ids)), "k int, ids array<int>")
+    back = {r.k: list(r.tokens) for r in tx.decode_ids(coded, vocab, "k", most_bytes=most_bytes).collect()}
+    assert back == {0: ["a", None, "c"], 1: [None, "b"], 2: [], 3: []}
+
+
+def test_lookup_has_no_shuffle(spark):
+    vocab = spark.createDataFrame([("a", 5)], "token string, id int")
+    rows = spark.createDataFrame([(1, ["a"])], "k int, tokens array<string>")
+    plan = tx.token_to_id(rows, vocab, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_vocabulary_order(spark):
     docs = spark.createDataFrame([(0, ["b", "a", "b"]), (1, ["c", "a", "d", "[UNK]"])], "doc_id bigint, tokens array<string>")
     vocab = tx.word_count_vocab(tx.token_counts(docs, "doc_id"), 1).collect()
