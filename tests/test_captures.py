@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from flowmill.operators import flows as fl
 from flowmill.operators import packets as pkt
@@ -185,6 +186,22 @@ def test_listing(spark, tmp_path):
     assert rows == {("a", "x", 4), ("a/b", "y", 4), ("unlabeled", "z", 4)}
 
 
+def test_listing_is_not_held_by_the_driver(spark, tmp_path):
+    for name in ("a/x.pcap", "a/_y.pcap", "a/.z.pcap", "_b/x.pcap", ".c/x.pcap", "_d=1/x.pcap", "e/f/g/x.pcap"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"1234")
+    (tmp_path / "a" / "empty.pcap").write_bytes(b"")
+    listing = cap.capture_listing(spark, str(tmp_path))
+    # Read as a stored table: the files are no input files of the plan, which the driver would hold.
+    assert not [f for f in listing.inputFiles() if f.endswith(".pcap")]
+    rows = {(r.path, r.label, r.stem) for r in listing.collect()}
+    assert rows == {(f"file:{tmp_path}/{d}/x.pcap", d, "x") for d in ("a", "_d=1", "e/f/g")}
+    assert cap.capture_listing(spark, str(tmp_path / "e" / "f")).first().label == "g"
+    with pytest.raises(AnalysisException):
+        cap.capture_listing(spark, str(tmp_path / "none"))
+
+
 def test_odd_file_names(spark, tmp_path):
     root = tmp_path / "in put"
     (root / "a #b").mkdir(parents=True)
