@@ -142,16 +142,13 @@ def label_difference(spark, sf_dir):
   select flow_key, label_name, m.label from held_part join label_map m using (label_name)
 """, "held_part", "label_map")
 def external_test(spark, sf_dir):
-    _, held = fit_and_held(spark, sf_dir)
-    labels = tables.read_label_map(spark, _stored_map(spark, sf_dir))
-    seen = scanned(spark, sf_dir).filter(F.col("capture") == 2)
-    return sp.external_test(seen, held, labels).select("flow_key", "label_name", "label")
-
-
-def _stored_map(spark, sf_dir):
+    # Flows are found once: the map, the labels seen and the test set are all read from the stored table.
+    flows = save_and_reload(scanned(spark, sf_dir), "flows")
+    rows = flows.filter(F.col("n_payload") >= 5)
     path = shared_folder(spark, "labels")
-    tables.write_label_map(label_ids(spark, sf_dir), path)
-    return path
+    tables.write_label_map(sp.label_ids(sp.label_counts(rows, MIN)), path)
+    held, seen = (part.filter(F.col("capture") == 2) for part in (rows, flows))
+    return sp.external_test(seen, held, tables.read_label_map(spark, path)).select("flow_key", "label_name", "label")
 
 
 @query("extraction_report", """
@@ -181,7 +178,7 @@ def few_shot(spark, sf_dir):
   from (select (select count(*) from samples) b, (select count(*) from few) a)
 """, "samples", "few")
 def few_shot_report(spark, sf_dir):
-    rows = samples(spark, sf_dir)
+    rows = save_and_reload(samples(spark, sf_dir), "samples")
     return sp.few_shot_report(rows, sp.few_shot(rows, 0.1))
 
 
