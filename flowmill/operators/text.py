@@ -33,7 +33,8 @@ ASCII_PUNCTUATION = ((33, 47), (58, 64), (91, 96), (123, 126))
 
 MAX_VOCAB_BYTES = 256 << 20
 ENTRY_BYTES = 200  # of a dictionary entry, besides the token's text
-CACHED_WORDS = 1 << 18
+CACHED_WORDS, CACHED_LENGTH = 1 << 18, 256
+SLICE_WORDS = 1 << 20
 PIECE_SALTS = 8
 
 
@@ -143,29 +144,48 @@ class _Pieces:
         return found
 
 
-def per_distinct_word(make: Callable[[], Callable[[str], list]], element: T.DataType):
+def per_distinct_word(make: Callable[[], Callable[[str], list]], element: T.DataType, cached: int = CACHED_WORDS):
     """Arrow UDF array -> array<element> replacing each word, id or null in the array by a list.
 
     ``make()`` is called once per task; its function runs once per distinct word
-    of a batch, with the results of frequent words kept between batches.
+    of a slice, with the results of ``cached`` frequent words kept between slices: 0 where no word comes twice. A
+    batch is worked off in slices of bounded length, so a worker holds one batch as Spark bounds it and little else.
     """
     arrow_type = {T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(element)]
 
     @F.arrow_udf(T.ArrayType(element))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        fn = lru_cache(maxsize=CACHED_WORDS)(make())
+        plain = make()
+        known = lru_cache(maxsize=cached)(plain)
         for arr in batches:
-            counts = np.asarray(arr.value_lengths().fill_null(0))
-            coded = arr.flatten().dictionary_encode(null_encoding="encode")
-            lists = pa.array([fn(w) for w in coded.dictionary.to_pylist()], pa.list_(arrow_type))
-            spread = lists.take(coded.indices)
-            reach = np.concatenate([[0], np.cumsum(np.asarray(spread.value_lengths()))])
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            yield pa.ListArray.from_arrays(pa.array(reach[ends], pa.int32()), spread.flatten())
+            for first, n in _slices(arr):
+                yield _replaced(arr.slice(first, n), plain, known, arrow_type)
+            arr = None  # not held while the next one is read
 
     return run
 
 
+def _slices(arr: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of slices of at most ``SLICE_WORDS`` words, or of one row."""
+    ends = np.cumsum(np.asarray(arr.value_lengths().fill_null(0)), dtype=np.int64)
+    first, before = 0, 0
+    while first < len(arr):
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
+        yield first, last - first
+        first, before = last, int(ends[last - 1])
+
+
+def _replaced(arr: pa.Array, plain: Callable[[str], list], known: Callable[[str], list], arrow_type: pa.DataType) -> pa.Array:
+    counts = np.asarray(arr.value_lengths().fill_null(0))
+    coded = arr.flatten().dictionary_encode(null_encoding="encode")
+    found = [plain(w) if type(w) is str and len(w) > CACHED_LENGTH else known(w) for w in coded.dictionary.to_pylist()]
+    lists = pa.array(found, pa.list_(arrow_type))
+    spread = lists.take(coded.indices)
+    reach = np.concatenate([[0], np.cumsum(np.asarray(spread.value_lengths()))])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(reach[ends], pa.int32()), spread.flatten())
+
+
 def lower_strip_accents(text: Column) -> Column:
     """Words of the text, cleaned, in lower case and without accents."""
     return per_distinct_word(lambda: _plain_words, T.StringType())(words(text))
@@ -278,7 +298,7 @@ def encode_documents(docs: DataFrame, vocab, text: str = "text", most_bytes: int
 def _encoded_by_joins(docs: DataFrame, vocab: DataFrame, text: str) -> DataFrame:
     stored = save_and_reload(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
     places = stored.select("_row", F.posexplode(words(F.col(text))).alias("_pos", "word"))
-    split = per_distinct_word(lambda: _basic, T.StringType())(F.array("word"))
+    split = per_distinct_word(lambda: _basic, T.StringType(), cached=0)(F.array("word"))
     distinct = save_and_reload(places.select("word").distinct().withColumn("_tokens", split), "words")
     tokens = distinct.select(F.explode("_tokens").alias("token")).distinct()
     pieces = save_and_reload(joined_pieces(tokens, vocab), "pieces").select("token", "ids")
@@ -380,7 +400,7 @@ def corpus_token_counts(docs: DataFrame, ident: str, text: str = "text") -> Data
     )
     place = F.struct(F.col(ident).alias("ident"), F.col("_pos").alias("pos"))
     distinct = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    split = per_distinct_word(lambda: _basic, T.StringType())(F.array("word"))
+    split = per_distinct_word(lambda: _basic, T.StringType(), cached=0)(F.array("word"))
     tokens = (
         distinct.withColumn("_tokens", split)
         .select("n", "first", "_tokens", F.explode_outer("_tokens").alias("token"))

@@ -4,10 +4,11 @@ import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.functions.ranking import running_before
+from flowmill.functions.ranking import running_before, with_rank
 from flowmill.functions.rng import uniform
 from flowmill.operators import contrastive as co
 from flowmill.operators import encode as en
@@ -420,3 +421,33 @@ def test_split_without_a_cap_takes_all(spark):
     df = samples(spark, {"a": 700, "b": 37})
     rows = sp.stratified_split(df, cap=None).collect()
     assert len(rows) == 737 and sum(r.label_name == "a" and r.split == "train" for r in rows) == 560
+
+
+def test_batches_of_words_are_worked_off_in_slices(spark, monkeypatch):
+    texts = [None, [], ["ä", None, "b"], ["c"] * 9, ["d", "e"], [None], ["f"] * 5, ["b" * 300, "g"]]
+    arrays = pa.array(texts, pa.list_(pa.string()))
+    monkeypatch.setattr(tx, "SLICE_WORDS", 4)
+    cuts = list(tx._slices(arrays))
+    sizes = [sum(len(t or []) for t in texts[first:first + n]) for first, n in cuts]
+    # No slice holds more words than allowed, unless it is one row; together they are the batch.
+    assert [r for first, n in cuts for r in range(first, first + n)] == list(range(len(texts)))
+    assert all(n == 1 or size <= 4 for (_, n), size in zip(cuts, sizes)) and len(cuts) > 3
+    twice = lambda w: [] if w is None else [w, w]
+    got = [x for first, n in cuts for x in tx._replaced(arrays.slice(first, n), twice, twice, pa.string()).to_pylist()]
+    assert got == [[w for w in t or [] if w is not None for _ in (0, 1)] for t in texts]
+
+
+def test_rows_keep_their_place_over_slices(spark):
+    # More words than a slice holds, in one batch.
+    rows = spark.range(0, 3000, 1, 1).withColumn("text", F.concat_ws(" ", F.col("id"), F.repeat(F.lit("É x "), 200 + F.col("id").cast("int") % 7)))
+    got = rows.select("id", tx.lower_strip_accents(F.col("text")).alias("t")).select(
+        "id", F.col("t")[0].alias("head"), F.size("t").alias("n"), F.col("t")[1].alias("e")).collect()
+    assert len(got) == 3000 and all((r.head, r.n, r.e) == (str(r.id), 1 + 2 * (200 + r.id % 7), "e") for r in got)
+
+
+def test_total_of_ranks_needs_no_pairwise_join(spark):
+    rows = spark.range(100).withColumn("b", F.col("id") % 7)
+    ranked = with_rank(rows, [], [F.col("id")], F.shiftright("id", 3), total="total")
+    plan = ranked._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert sorted((r.rank, r.id, r.total) for r in ranked.collect()) == [(i, i, 100) for i in range(100)]
