@@ -171,6 +171,15 @@ def test_proven_splits_are_many(spark, tmp_path):
     assert cap.capture_ranges(cap.capture_listing(spark, str(tmp_path)), 4096).count() > 5
 
 
+def test_many_small_splits_are_dealt_to_few_tasks(spark, tmp_path):
+    records = many(tempting=False)
+    (tmp_path / "x.pcap").write_bytes(pcap(records))
+    read = cap.read_captures(spark, str(tmp_path), 512)
+    assert cap.capture_ranges(cap.capture_listing(spark, str(tmp_path)), 512).count() > 40
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert [bytes(r.frame) for r in sorted(read.collect(), key=lambda r: r.seq)] == [f for _, _, f, *_ in records]
+
+
 def test_truncated_tail_is_ignored(spark, tmp_path):
     data = pcap(many(20))
     (tmp_path / "x.pcap").write_bytes(data[:-3])
