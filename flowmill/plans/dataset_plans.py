@@ -184,9 +184,11 @@ def few_shot_report(spark, sf_dir):
 
 @query("baseline_flow_classifier")
 def baseline_flow_classifier(spark, sf_dir):
-    rows = en.paired_instance(sequences(spark, sf_dir)).withColumnRenamed("label", "label_name")
+    encoded = en.paired_instance(sequences(spark, sf_dir)).withColumnRenamed("label", "label_name")
+    # Stored once and without the token lists, which are many times as long as their histograms.
+    rows = save_and_reload(model.features(encoded).select("flow_key", "label_name", "features"), "histograms")
     labels = sp.label_ids(sp.label_counts(rows))
-    ready = sp.stratified_split(sp.attach_label_id(model.features(rows), labels))
+    ready = sp.stratified_split(sp.attach_label_id(rows, labels))
     stored = save_and_reload(ready.select("flow_key", "features", "label", "split"), "features")
     _, predictions = model.baseline_flow_classifier(stored)
     return ev.overall_metrics(ev.confusion_matrix(predictions))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowmill import fixtures
+from flowmill.functions import ranking
 from flowmill.plans import dataset_plans, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -25,8 +26,8 @@ def test_every_byte_is_carried_once(spark, tmp_path, factor, most_events):
     assert sum(len(r.payload) // 2 for r in rows) == n_bytes
 
 
-def small_tables(spark, folder, texts, n_events):
-    rows = [(i, f"2024-01-{1 + i % 30:02d} 10:00:{i % 60:02d}", i % 2, ("click", "view")[i % 3 > 0], '{"k": %d}' % (i % 4)) for i in range(n_events)]
+def small_tables(spark, folder, texts, n_events, user=lambda i: i % 2):
+    rows = [(i, f"2024-01-{1 + i % 30:02d} 10:00:{i % 60:02d}", user(i), ("click", "view")[i % 3 > 0], '{"k": %d}' % (i % 4)) for i in range(n_events)]
     events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, props string")
     events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{folder}/events.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
@@ -56,3 +57,13 @@ def test_reports_find_flows_once(spark, tmp_path, monkeypatch):
     report = dataset_plans.few_shot_report(spark, folder)
     assert "Generate" not in report._jdf.queryExecution().optimizedPlan().toString()
     assert report.first().before >= len(got)
+
+
+def test_classifier_stores_no_token_lists(spark, tmp_path, monkeypatch):
+    folder = small_tables(spark, tmp_path, ["x" * 90000], 6000, lambda i: i // 120 % 25)
+    stored, save = [], ranking.save_and_reload
+    monkeypatch.setattr(ranking, "save_and_reload", lambda df, purpose: stored.append(df.columns) or save(df, purpose))
+    row = dataset_plans.baseline_flow_classifier(spark, folder).first()
+    # Before, ranks were found over rows with all token lists of a flow.
+    assert stored and not any("src" in columns for columns in stored)
+    assert row.total > 0
