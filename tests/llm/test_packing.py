@@ -6,10 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from flowmill.llm import tokens
 from flowmill.llm.packing import pack_documents, plan_bins
+from flowmill.llm.words import slices
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", "   ", "a<|endoftext|>b <|ENDOFTEXT|> x", "It's ÀÉ İx q z é a", "Tab\tand\nline  two", "<|startoftext|> a<| b |>"]
@@ -66,3 +69,26 @@ def test_plan_is_whole_and_tight():
 def test_two_documents_replace_the_smallest():
     # Greedy 6 + 3 leaves a gap of 1; 2 + 2 in place of 3 fills it.
     assert plan_bins({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [(6, 1), (2, 2)])
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 60)
+    asked = Counter()
+
+    def encode(words):
+        asked.update(words)
+        found = [[len(w), *w.encode()] for w in words]
+        return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found])
+
+    known = tokens.WordIds(encode)
+    frequent = [f"often{i}" for i in range(20)]
+    for turn in range(12):
+        texts = [" ".join([*frequent, *(f"rare{turn}x{i}" for i in range(30))]), "", "often3 often3"]
+        for part in slices(pa.array(texts)):
+            ids, bounds = known.texts(part)
+            for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
+                assert ids[a:b].tolist() == [i for w in text.split() for i in (len(w), *w.encode())]
+    assert max(asked.values()) == 1 and len(known.starts) <= 110
+    monkeypatch.setattr(tokens, "MAX_IDS", 10)
+    for part in slices(pa.array(["long" * 50 + " often3"])):
+        assert known.texts(part)[0].tolist()[:1] == [200]
