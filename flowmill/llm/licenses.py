@@ -190,19 +190,27 @@ def header_runs(text: Column, terms: list[str]) -> Column:
 
 
 def run_licences(runs: DataFrame, known: DataFrame, idf: DataFrame, *, least: float) -> DataFrame:
-    """(key, licence, cosine) of distinct runs (key, run) that reach the threshold; ``known`` is the weighed templates."""
-    counted = runs.select("key", F.explode(_terms(F.col("run"))).alias("term")).groupBy("key", "term").agg(
-        F.count(F.lit(1)).alias("n"))
+    """(key, licence, cosine) of distinct runs (key, run) that reach the threshold; ``known`` is the weighed templates.
+
+    Rows of all terms meet the weights once, under the number of their run, and leave only sums for its norm. Those of
+    the templates' terms, which the products need, meet the templates where they are.
+    """
+    counted = runs.withColumn("no", F.monotonically_increasing_id()).select(
+        "key", "no", F.explode(_terms(F.col("run"))).alias("term")).groupBy("key", "no", "term").agg(F.count(F.lit(1)).alias("n"))
     counted = save_and_reload(counted, "run-terms")
     met = idf.join(counted.select("term").distinct(), "term")
-    own = _weighed(counted, small_enough(save_and_reload(met, "idf"), BROADCAST_ROWS), "key")
+    weight = (F.lit(1.0) + F.ln("n")) * F.col("idf")
+    weighed = counted.select("no", "term", "n").join(small_enough(save_and_reload(met, "idf"), BROADCAST_ROWS), "term")
+    norms = weighed.select("no", weight.alias("w")).groupBy("no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # The templates are a fixed list of some thousand terms.
-    theirs = known.select("template", "wording", F.size("must").alias("musts"), F.array_contains("must", F.col("term")).alias("must"),
-                          "term", F.col("w").alias("v"), F.col("norm").alias("their_norm"))
-    dots = own.join(F.broadcast(theirs), "term").groupBy("key", "norm", "template", "wording", "musts", "their_norm").agg(
-        F.sum(F.col("v") * F.col("w")).alias("dot"), F.count_if("must").alias("there"))
+    theirs = idf.join(F.broadcast(known), "term").select(
+        "wording", F.array_contains("must", F.col("term")).alias("must"), "term", "idf", F.col("w").alias("v"))
+    wordings = known.select("template", "wording", F.size("must").alias("musts"), F.col("norm").alias("their_norm")).distinct()
+    dots = counted.select("no", "term", "n").join(F.broadcast(theirs), "term").withColumn("w", weight).groupBy("no", "wording").agg(
+        F.sum(F.col("v") * F.col("w")).alias("dot"), F.count_if("must").alias("there")).join(
+        F.broadcast(wordings), "wording").filter(F.col("there") == F.col("musts")).join(norms, "no")
     cosine = F.round(F.col("dot") / F.col("norm") / F.col("their_norm"), 9)
-    near = dots.withColumn("cosine", cosine).filter((F.col("cosine") >= least) & (F.col("there") == F.col("musts")))
+    near = dots.withColumn("cosine", cosine).filter(F.col("cosine") >= least).join(counted.select("key", "no").distinct(), "no")
     best = near.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), F.col("template").alias("licence"))).alias("best"))
     return best.select("key", "best.licence", (-F.col("best.less")).alias("cosine"))
 

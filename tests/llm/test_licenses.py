@@ -116,3 +116,27 @@ def test_headers_and_files_against_a_plain_cosine(spark):
     for path, best in want.items():
         assert (best and best[1]) == got[path].own_licence
         assert best is None or abs(-best[0] - got[path].cosine) < 2e-9
+
+
+def test_terms_of_runs_are_shuffled_once_under_a_number(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+
+    def kept(runs, known, idf, *, least, inner=licenses.run_licences):
+        found = inner(runs, known, idf, least=least)
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(licenses, "run_licences", kept)
+    try:
+        rows = [(p, t) for p, t, _ in PROBES]
+        got = {r.path: r for r in licenses.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for path, best in plain_licences(rows).items():
+        assert (best and best[1]) == got[path].own_licence
+        assert best is None or abs(-best[0] - got[path].cosine) < 2e-9
+    joins = [line for line in plans[0].splitlines() if " Join " in f" {line.strip(' :+-')} "]
+    assert joins and not any("key#" in line for line in joins)
