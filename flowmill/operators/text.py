@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmill.functions.arrays import let
 from flowmill.functions.ranking import with_rank
 from flowmill.operators.encode import UNK
 from flowmill.session import save_and_reload
@@ -36,6 +37,8 @@ ENTRY_BYTES = 200  # of a dictionary entry, besides the token's text
 CACHED_WORDS, CACHED_LENGTH = 1 << 18, 256
 SLICE_WORDS = 1 << 20
 PIECE_SALTS = 8
+RESIDUES = 1 << 20  # most values of the filter that spans pass before they are moved
+IDS = 1 << 33  # ids and null, in the low bits of a match
 
 
 def _class(ranges) -> str:
@@ -240,23 +243,31 @@ def joined_pieces(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 
     Every substring a vocabulary entry could match, no longer than its longest one, meets the
     vocabulary in one join; the longest match at each place is kept, and the walk from match to match is an
-    array expression on the token's own matches, at most one for each of its letters.
+    array expression on the token's own matches, at most one for each of its letters. Tokens are dealt out before they are
+    taken apart, and a substring whose hash has a residue that no entry has is dropped where it is made, so few rows
+    that are no match move. A match is one number: its size and, below ``IDS``, its id.
     """
     known = vocab.groupBy("token").agg(F.max("id").alias("id"))
     longest = known.agg(F.max(F.char_length("token")).alias("longest"))
     unknown = known.filter(F.col("token") == "[UNK]").agg(F.coalesce(F.max("id"), F.lit(UNK)).alias("unknown"))
     length = F.char_length("token")
+    tokens = tokens.repartition("token")
     places = tokens.filter(length <= MAX_WORD).crossJoin(F.broadcast(longest)).select(
         "token", "longest", F.explode(F.sequence(F.lit(1), length)).alias("place"))
     reach = F.least(F.col("longest"), length - F.col("place") + 1)
     spans = places.select("token", "place", F.explode(F.sequence(F.lit(1), reach)).alias("size"))
-    part = F.substring(F.col("token"), F.col("place"), F.col("size"))
-    spans = spans.withColumn("piece", F.when(F.col("place") == 1, part).otherwise(F.concat(F.lit("##"), part)))
+    piece = lambda place, size: F.concat(
+        F.when(place == 1, F.lit("")).otherwise(F.lit("##")), F.substring(F.col("token"), place, size))
+    spans = spans.withColumn("piece", piece(F.col("place"), F.col("size")))
+    residue = lambda text: F.pmod(F.xxhash64(text), F.lit(RESIDUES))
+    likely = F.broadcast(known.select(residue("token").alias("_residue")).distinct())
+    spans = spans.withColumn("_residue", residue("piece")).join(likely, "_residue", "left_semi").drop("_residue")
     # A piece of one letter may be a third of all rows: the vocabulary is dealt out once for each salt.
     salt = F.pmod(F.xxhash64("token"), F.lit(PIECE_SALTS))
     dealt = known.select(F.col("token").alias("piece"), "id", F.explode(F.sequence(F.lit(0), F.lit(PIECE_SALTS - 1))).alias("_salt"))
     found = spans.withColumn("_salt", salt.cast("int")).join(dealt, ["piece", "_salt"])
-    best = found.groupBy("token", "place").agg(F.max(F.struct("size", "piece", "id")).alias("best"))
+    low = F.coalesce(F.col("id").cast("int").cast("bigint") + (1 << 31) + 1, F.lit(0))
+    best = found.groupBy("token", "place").agg(F.max(F.col("size").cast("bigint") * IDS + low).alias("best"))
     matches = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct(
         F.col("place").alias("key"), F.col("best").alias("value")))).alias("_at"))
     rows = tokens.join(matches, "token", "left").crossJoin(F.broadcast(unknown))
@@ -264,10 +275,14 @@ def joined_pieces(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     start = F.struct(F.lit(1).alias("place"), F.array().alias("pieces"), F.array().alias("ids")).cast(kind)
 
     def step(state, _):
-        match = F.element_at("_at", state["place"])
-        return F.when(match.isNull(), state).otherwise(F.struct(
-            (state["place"] + match["size"]).alias("place"), F.concat(state["pieces"], F.array(match["piece"])).alias("pieces"),
-            F.concat(state["ids"], F.array(match["id"].cast("int"))).alias("ids")).cast(kind))
+        def reached(match):
+            size, low = F.floor(match / IDS).cast("int"), F.pmod(match, F.lit(IDS))
+            ident = F.when(low > 0, (low - (1 << 31) - 1).cast("int"))
+            return F.when(match.isNull(), state).otherwise(F.struct(
+                (state["place"] + size).alias("place"), F.concat(state["pieces"], F.array(piece(state["place"], size))).alias("pieces"),
+                F.concat(state["ids"], F.array(ident)).alias("ids")).cast(kind))
+
+        return let(F.element_at("_at", state["place"]), reached)
 
     most = F.when(F.col("_at").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.char_length("token")))
     rows = rows.withColumn("_walk", F.aggregate(most, start, step))

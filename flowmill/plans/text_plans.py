@@ -171,8 +171,13 @@ define("piece_names", """
 """, "pieces")
 
 
-def piece_vocab(spark, sf_dir):
-    words = save_and_reload(counts(spark, sf_dir), "token-counts")
+def stored_counts(spark, sf_dir):
+    """(token, n), stored; first places are not asked for."""
+    return save_and_reload(counts(spark, sf_dir).select("token", "n"), "token-counts")
+
+
+def piece_vocab(spark, sf_dir, words=None):
+    words = stored_counts(spark, sf_dir) if words is None else words
     at = F.posexplode(F.split("token", ""))
     letters = words.select("n", at.alias("i", "c")).filter(F.col("c") != "").select(
         F.when(F.col("i") == 0, F.col("c")).otherwise(F.concat(F.lit("##"), F.col("c"))).alias("token"), "n"
@@ -195,8 +200,8 @@ def piece_vocab(spark, sf_dir):
   join piece_names p using (id) group by s.token
 """, "split_words", "piece_names")
 def wordpiece(spark, sf_dir):
-    distinct = counts(spark, sf_dir).select("token")
-    split = tx.split_tokens(distinct, piece_vocab(spark, sf_dir))
+    words = stored_counts(spark, sf_dir)
+    split = tx.split_tokens(words.select("token"), piece_vocab(spark, sf_dir, words))
     return split.select("token", F.array_join("pieces", " ").alias("pieces"))
 
 
@@ -207,8 +212,8 @@ def wordpiece(spark, sf_dir):
 """, "split_words", "piece_names")
 def wordpiece_joined(spark, sf_dir):
     # As for a vocabulary that fits no worker.
-    distinct = save_and_reload(counts(spark, sf_dir).select("token"), "tokens")
-    return tx.joined_pieces(distinct, piece_vocab(spark, sf_dir)).select("token", F.array_join("pieces", " ").alias("pieces"))
+    words = stored_counts(spark, sf_dir)
+    return tx.joined_pieces(words.select("token"), piece_vocab(spark, sf_dir, words)).select("token", F.array_join("pieces", " ").alias("pieces"))
 
 
 @query("encode_documents", "select doc_id, array_to_string(ids, ' ') ids from encoded_docs", "encoded_docs")

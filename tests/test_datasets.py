@@ -16,6 +16,7 @@ from flowmill.operators import evaluate as ev
 from flowmill.operators import pairing
 from flowmill.operators import splits as sp
 from flowmill.operators import text as tx
+from flowmill.plans import text_plans
 from flowmill.session import shared_folder
 from flowmill.sources import corpus, tables
 from flowmill.sources.lines import numbered_lines, record_lines
@@ -451,3 +452,30 @@ def test_total_of_ranks_needs_no_pairwise_join(spark):
     plan = ranked._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert sorted((r.rank, r.id, r.total) for r in ranked.collect()) == [(i, i, 100) for i in range(100)]
+
+
+@pytest.mark.parametrize("residues", [4, tx.RESIDUES])
+def test_joined_pieces_drop_what_is_no_entry_where_it_is_made(spark, monkeypatch, residues):
+    monkeypatch.setattr(tx, "RESIDUES", residues)
+    entries = {"[UNK]": 1, "a": 5, "ab": 6, "abc": 7, "##c": -3, "##cd": 2**31 - 1, "##d": 10, "##": 11, "é": -(2**31), "##üb": 0}
+    words = ["a", "abcd", "abcdd", "abx", "x", "##cd", "éüb", "éü", "ab" * 100, "ab" + "c" * 198, "a" + "c" * 200]
+    vocab = spark.createDataFrame([*entries.items(), ("a", 4)], "token string, id bigint")
+    tokens = spark.createDataFrame([(w,) for w in words] + [("a",)], "token string").repartition(3)
+    joined = tx.joined_pieces(tokens, vocab)
+    got = joined.collect()
+    assert len(got) == len(words) + 1
+    names, ids = tx._Pieces({t: t for t in entries}, "[UNK]"), tx._Pieces(entries, 1)
+    for r in got:
+        assert (r.pieces, r.ids) == (names(r.token), ids(r.token))
+    assert "LeftSemi" in joined._jdf.queryExecution().optimizedPlan().toString()
+    empty = tx.joined_pieces(tokens, vocab.limit(0)).collect()
+    assert len(empty) == len(got) and all((r.pieces, r.ids) == (["[UNK]"], [1]) for r in empty)
+
+
+@pytest.mark.parametrize("name", ["wordpiece", "wordpiece_joined"])
+def test_corpus_is_counted_once_for_pieces(spark, monkeypatch, name):
+    calls = []
+    counts = text_plans.counts
+    monkeypatch.setattr(text_plans, "counts", lambda *a: calls.append(a) or counts(*a))
+    assert getattr(text_plans, name)(spark, "/root/testdata/sf0.001").columns == ["token", "pieces"]
+    assert len(calls) == 1
