@@ -13,10 +13,11 @@ from flowmill.functions.rng import uniform
 from flowmill.operators import contrastive as co
 from flowmill.operators import encode as en
 from flowmill.operators import evaluate as ev
+from flowmill.operators import masking as ma
 from flowmill.operators import pairing
 from flowmill.operators import splits as sp
 from flowmill.operators import text as tx
-from flowmill.plans import text_plans
+from flowmill.plans import encode_plans, text_plans
 from flowmill.session import shared_folder
 from flowmill.sources import corpus, tables
 from flowmill.sources.lines import numbered_lines, record_lines
@@ -479,3 +480,9 @@ def test_corpus_is_counted_once_for_pieces(spark, monkeypatch, name):
     monkeypatch.setattr(text_plans, "counts", lambda *a: calls.append(a) or counts(*a))
     assert getattr(text_plans, name)(spark, "/root/testdata/sf0.001").columns == ["token", "pieces"]
     assert len(calls) == 1
+
+
+def test_variants_share_the_text_of_their_flow(spark):
+    plan = encode_plans.clean_and_masked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate explode")
+    assert below and above.count("array_join(") == len(ma.CLEAN_AND_MASKED) - len(encode_plans.PAIRED)
