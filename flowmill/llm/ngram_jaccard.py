@@ -21,7 +21,8 @@ stripes of bounded size and each looks for its nearest partners there; after the
 are contracted, a few members of each component look for each other; last, all pairs of a
 key that are still in different components and pass the tree's bound are verified, stripe
 against stripe. Pairs inside a component are never listed, and no link between components
-is lost.
+is lost. The last two rounds search with the finer points, so that a pair that cannot link is not listed
+below each of the keys it shares.
 
 Defined cases: null text, or text without words: empty set, linked with nothing. Null id: the row is
 kept, links with nothing and has no component. Repeated rows: each keeps its row. An id
@@ -47,6 +48,7 @@ GROUPS, MOST_GROUPS = 64, 4096  # coordinates of a point, a power of two
 GROUP_SHINGLES = 8  # in a coordinate on average, up to MOST_GROUPS of them
 FINE = 4  # coordinates of the point that screens pairs, for each one in the trees
 STRIPE = 256  # most members searched together
+CROSSED = 2048  # most members of two stripes that are searched against each other
 LEAF = 16  # entries of a tree node
 NEAREST = 2  # partners a member asks for in the first rounds
 DELEGATES = 8  # members of a component that look for other components
@@ -283,23 +285,28 @@ class Tree:
         return query, self.order[node], bound
 
 
-def _stripe_pairs(rule: Rule, nearest: int | None):
-    """Candidate pairs (a < b) of each stripe; rows come sorted by stripe."""
+def _stripe_pairs(rule: Rule, nearest: int | None, finer: int = 1):
+    """Candidate pairs (a < b) of each stripe; rows come sorted by stripe, with points ``finer`` than the trees'."""
 
-    def search(points, sizes, classes, comps, side):
-        if len(sizes) == 2:
-            q, e = np.array([0]), np.array([1])
-            bound = np.minimum(points[:1], points[1:]).sum(1, dtype=np.int64)
-            ok = rule.linked(np.minimum(bound, sizes.min()), sizes[:1], sizes[1:])
-            q, e, bound = q[ok], e[ok], bound[ok]
-        else:
-            q, e, bound = Tree(points, sizes).search(points, sizes, rule)
+    def overlap(points, q, e):
+        step = max(1, (1 << 21) // points.shape[1])
+        return np.concatenate([np.minimum(points[q[at : at + step]], points[e[at : at + step]]).sum(1, dtype=np.int64)
+                               for at in range(0, max(1, len(q)), step)])
+
+    def near(found, fine, sizes, classes, comps, side):
+        q, e, bound = found
         ok = (q != e) & (comps[q] != comps[e]) & (classes[q] != classes[e])
         if side is not None:
             ok &= side[q] != side[e]
+        if nearest is None:
+            ok &= q < e
         q, e, bound = q[ok], e[ok], bound[ok]
         ok = rule.linked(np.minimum(bound, np.minimum(sizes[q], sizes[e])), sizes[q], sizes[e])
         q, e, bound = q[ok], e[ok], bound[ok]
+        if finer > 1 and len(q):
+            bound = overlap(fine, q, e)
+            ok = rule.linked(np.minimum(bound, np.minimum(sizes[q], sizes[e])), sizes[q], sizes[e])
+            q, e, bound = q[ok], e[ok], bound[ok]
         if nearest is not None and len(q) > 1:
             likely = bound / (sizes[q] + sizes[e] - bound)
             order = np.lexsort((e, -likely, q))
@@ -307,7 +314,19 @@ def _stripe_pairs(rule: Rule, nearest: int | None):
             first = np.searchsorted(q, q, side="left")
             ok = np.arange(len(q)) - first < nearest
             q, e = q[ok], e[ok]
-        pairs = np.stack([np.minimum(classes[q], classes[e]), np.maximum(classes[q], classes[e])])
+        return np.stack([np.minimum(classes[q], classes[e]), np.maximum(classes[q], classes[e])])
+
+    def search(fine, sizes, *of):
+        points = fine if finer == 1 else fine.reshape(len(fine), -1, finer).sum(2, dtype=np.uint32)
+        if len(sizes) == 2:
+            both = np.array([0, 1]), np.array([1, 0]), overlap(points, np.array([0, 1]), np.array([1, 0]))
+            pairs = near(both, fine, sizes, *of)
+        else:
+            tree, found = Tree(points, sizes), []
+            for at in range(0, len(sizes), STRIPE):
+                q, e, bound = tree.search(points[at : at + STRIPE], sizes[at : at + STRIPE], rule)
+                found.append(near((q + at, e, bound), fine, sizes, *of))
+            pairs = np.concatenate(found, axis=1)
         return np.unique(pairs, axis=1) if pairs.shape[1] else pairs
 
     def groups(batches):
@@ -341,7 +360,7 @@ def _stripe_pairs(rule: Rule, nearest: int | None):
                     continue
                 own = slice(low, high)
                 split = side[own] if side[low] >= 0 else None
-                pairs = search(_points(packed[own], sizes[own]), sizes[own], classes[own], comps[own], split)
+                pairs = search(_points(packed[own], sizes[own], finer), sizes[own], classes[own], comps[own], split)
                 if pairs.shape[1]:
                     found.append(pairs)
             if found:
@@ -351,11 +370,11 @@ def _stripe_pairs(rule: Rule, nearest: int | None):
     return run
 
 
-def _candidates(members: DataFrame, rule: Rule, nearest: int | None) -> DataFrame:
+def _candidates(members: DataFrame, rule: Rule, nearest: int | None, finer: int = 1) -> DataFrame:
     """Distinct candidate pairs of members (stripe, side, class, comp, size, counts)."""
     rows = members.select("stripe", "side", "class", "comp", "size", "counts")
     dealt = rows.repartition("stripe").sortWithinPartitions("stripe", "class")
-    return dealt.mapInArrow(_stripe_pairs(rule, nearest), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_stripe_pairs(rule, nearest, finer), "a bigint, b bigint").distinct()
 
 
 def _verified(rule: Rule):
@@ -445,14 +464,15 @@ def shingle_components(
 
     tested = _verify(first, texts, rule)
     comps = components(tested.filter("linked"))
+    fine = texts.select("class", F.col("fine").alias("counts"))
     for delegates in (DELEGATES, None):
-        open_ = _open_members(members, comps)
+        open_ = _open_members(members.drop("counts"), comps)
         if open_.isEmpty():
             break
         if delegates:
-            pairs = _candidates(_delegates(open_, delegates), rule, NEAREST)
+            pairs = _candidates(_delegates(open_, delegates).join(fine, "class"), rule, NEAREST, FINE)
         else:
-            pairs = _candidates(_crossed(open_), rule, None)
+            pairs = _candidates(_crossed(open_.join(fine, "class")), rule, None, FINE)
         pairs = save_and_reload(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
         tested = tested.union(_verify(pairs, texts, rule))
         comps = components(tested.filter("linked"))
@@ -550,13 +570,13 @@ def _delegates(open_: DataFrame, most: int) -> DataFrame:
     least = save_and_reload(least.select("block", "comp", "class"), "delegates")
     count = least.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
     rows = least.join(count, "block").join(
-        open_.select("block", "class", "size", "counts"), ["block", "class"])
+        open_.select("block", "class", "size"), ["block", "class"])
     return _striped(rows)
 
 
 def _crossed(open_: DataFrame) -> DataFrame:
     """All members, each stripe of a block beside each other one and beside itself."""
-    stripes = F.ceil(F.col("members") * 2 / STRIPE)
+    stripes = F.ceil(F.col("members") * 2 / CROSSED)
     rows = open_.withColumn("stripes", stripes.cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class", F.lit("stripe")), F.col("stripes")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flowmill.llm import ngram_jaccard as nj
@@ -145,3 +146,33 @@ def test_links_of_long_sets(documents, spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {
             i * 3: (len(s), root[i] * 3) for i, s in enumerate(sets)}
         assert len(set(root)) < len(root)
+
+
+def test_last_rounds_list_few_pairs_that_cannot_link(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in rng.sample(range(300), 3 if i % 10 == 0 else 16):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    rule = nj.Rule(5, 80)
+    sets = list(nj.shingle_sets(pa.array(texts), 5))
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60)
+              if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+
+    def listed(finer):
+        ids = pa.array(range(60), type=pa.int64())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([7] * 60), pa.array([-1] * 60), ids, ids, pa.array([len(s) for s in sets]),
+             pa.array([nj._packed(s, finer) for s in sets], type=pa.binary())],
+            names=["stripe", "side", "class", "comp", "size", "counts"])
+        out = list(nj._stripe_pairs(rule, None, finer)(iter([batch])))
+        return {p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+
+    coarse, fine = listed(1), listed(nj.FINE)
+    assert linked and linked <= fine <= coarse
+    assert 4 * (len(fine) - len(linked)) < len(coarse) - len(linked)
+    rows = spark.range(770).selectExpr("1 as block", "770 as members", "id as class")
+    assert nj._crossed(rows).count() == 770
