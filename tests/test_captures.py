@@ -247,6 +247,16 @@ def test_flow_export_round_trip(spark, tmp_path):
     assert pkt.parse_flow_name(names).first().cli_port == 1000
 
 
+def test_packets_of_captures_are_not_broadcast(spark, tmp_path):
+    # The list of files is small, so Spark takes the packets for small too; the driver would hold all frames.
+    (tmp_path / "x.pcap").write_bytes(pcap(many()))
+    decoded = pkt.decode_packets(cap.read_captures(spark, str(tmp_path)), keep_payload=False, keep_frame=True)
+    flows = fl.assemble_flows(decoded)
+    assert len(flows.collect()) == 400
+    plan = flows._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize("name, ok", [
     ("TCP_1.2.3.4_5_6.7.8.9_10.pcap", True), ("udp_1.2.3.4_5_6.7.8.9_10.pcapng", True),
     ("tcp_1.2.3.4_5_6.7.8.9_10_extra.pcap", True), ("icmp_1.2.3.4_5_6.7.8.9_10.pcap", False),
